@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import language, licenses, mixture, secrets, toxicity, urls
+from folioflux.llm import embedding_lsh, language, licenses, mixture, ngram_join, secrets, toxicity, urls
 from folioflux.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -83,6 +83,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM o UNION SELECT y, x FROM o),
+r(node, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.node WHERE r.c < e.y)
+SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.sh)"""
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.classes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op9_embeddings": op9_embeddings}
+QUERIES |= {"op4_ngram_join": op4_ngram_join}
 QUERIES |= {"op5_licenses": op5_licenses, "op10_secrets": op10_secrets}
 QUERIES |= {"op2_toxicity": op2_toxicity, "op7_urls": op7_urls}
 QUERIES |= {"op6_mixture": op6_mixture, "op8_language": op8_language}
