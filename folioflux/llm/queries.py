@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import embedding_lsh, language, licenses, mixture, ngram_join, secrets, toxicity, urls
+from folioflux.llm import chat, decontamination, embedding_lsh, language, licenses, mixture, ngram_join, secrets, toxicity, urls
 from folioflux.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -103,6 +103,20 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.classes(table(spark, sf_dir, "embeddings"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    shares = [F.round(c, 6).alias(c) for c in ("overlap", "question_overlap", "answer_overlap")]
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start_word", *shares)
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    model = chat.fit(turns.where(fold("conv_id", 4) != 2))
+    found = chat.decoded(turns.drop("role"), model)
+    return found.select("conv_id", "turn", "role", (fold("conv_id", 4) == 2).alias("held_out"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+QUERIES |= {"op1_decontamination": op1_decontamination, "op3_chat": op3_chat}
 QUERIES |= {"op9_embeddings": op9_embeddings}
 QUERIES |= {"op4_ngram_join": op4_ngram_join}
 QUERIES |= {"op5_licenses": op5_licenses, "op10_secrets": op10_secrets}
