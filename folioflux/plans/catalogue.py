@@ -1,6 +1,620 @@
-"""Catalogue of registered queries: QUERIES by name and their DuckDB SQL in ORACLE."""
+"""Catalogue of registered queries: QUERIES by name and their DuckDB SQL in ORACLE.
+
+Documents serve as the corpus, benchmark passages as questions, embeddings as vectors; an
+answer's gold span is where its passage stands in a document.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflux.functions import html as H
+from folioflux.functions import text as T
+from folioflux.operators import chunking, context, evaluation, filters, retrieval
+from folioflux.plans import generation
+from folioflux.sources import store
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.fixed_chunks(documents(spark, d))
+
+
+def head(text: str, n: int = 8):
+    return F.array_join(F.slice(T.split_blanks(F.col(text)), 1, n), " ")
+
+
+def questions(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (head("text") if short else F.col("text")).alias("text"))
+
+
+CHUNKS = """c0 AS (SELECT doc_id::VARCHAR AS doc_id, text AS whole, length(text) AS n, unnest(range(0, 1 + ceil(greatest(0, length(text) - 512) / 256.0)::BIGINT)) AS ordinal
+  FROM documents WHERE length(text) > 0),
+c1 AS (SELECT doc_id, ordinal, ordinal * 256 AS start_char, least(n, ordinal * 256 + 512) AS end_char, substr(whole, ordinal * 256 + 1, least(n, ordinal * 256 + 512) - ordinal * 256) AS text FROM c0),
+chunk AS (SELECT substr(sha256(doc_id || chr(0) || ordinal || chr(0) || nfc_normalize(text)), 1, 16) AS chunk_id, doc_id, ordinal, text, start_char, end_char, (length(text) + 3) // 4 AS token_count FROM c1)"""
+WORDS = r"regexp_extract_all(lower(nfc_normalize({})), '[\p{{L}}\p{{N}}_]+')"
+SPLIT = r"list_filter(string_split_regex({}, '[\s\x0B\x1C-\x1F\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '')"
+SHORT = "array_to_string((" + SPLIT.format("text") + ")[1:8], ' ')"
+LONG_Q = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
+SHORT_Q = f"q AS (SELECT item_id AS query_id, {SHORT} AS text FROM benchmark)"
+
+
+def bm25_sql(name: str, k: int, q: str = "q", pool: str = "chunk", counted: str | None = None, idf: str = "ln((n - df + 0.5) / (df + 0.5) + 1)") -> str:
+    """CTEs ending in {name}(query_id, rank, chunk_id, score)."""
+    counted = counted or pool
+    return f"""{name}_w AS (SELECT chunk_id, {WORDS.format('text')} AS w FROM {counted}),
+{name}_s AS (SELECT count(*) AS n, avg(len(w)) AS average FROM {name}_w),
+{name}_p AS (SELECT chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM {name}_w) GROUP BY ALL),
+{name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
+{name}_t AS (SELECT query_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM {q}),
+{name}_x AS (SELECT query_id, chunk_id, round(sum({idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 9) AS score
+  FROM {name}_t JOIN {name}_p USING (term) JOIN {name}_d USING (term), {name}_s WHERE chunk_id IN (SELECT chunk_id FROM {pool}) GROUP BY query_id, chunk_id),
+{name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM {name}_x WHERE score > 0) WHERE rank <= {k})"""
+
+
+def rrf_sql(name: str, rankings: list[str], k: int) -> str:
+    union = " UNION ALL ".join(f"SELECT query_id, chunk_id, rank FROM {r}" for r in rankings)
+    return f"""{name}_x AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({union}) GROUP BY query_id, chunk_id),
+{name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM {name}_x) WHERE rank <= {k})"""
+
+
+def ranked(r: DataFrame) -> DataFrame:
+    return r.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+RANKED = "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM "
+
+# ---- identity and text ----------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, substr(sha256(nfc_normalize(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'))), 1, 32) AS content_hash,
+  substr(sha256('docs/' || doc_id || '.txt'), 1, 32) AS stable_id, sha256(nfc_normalize(text)) AS fingerprint FROM documents""")
+def ids_content_hash(spark, d):
+    uri = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), T.stable_doc_id(uri).alias("stable_id"), T.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, ordinal, chunk_id FROM chunk")
+def ids_chunk_id(spark, d):
+    return chunks(spark, d).select("doc_id", "ordinal", "chunk_id")
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(html, '\r\n?', chr(10), 'g')),
+  '[ \t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS cleaned FROM pages""")
+def clean_text(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.clean_text(F.col("html"))).alias("cleaned"))
+
+
+@query("SELECT doc_id, (length(text) + 3) // 4 AS tokens FROM documents")
+def token_count_heuristic(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.heuristic_tokens(F.col("text")).alias("tokens"))
+
+
+@query(rf"""SELECT doc_id, array_to_string({WORDS.format('text')}[1:50], ' ') AS words,
+  array_to_string(list_transform(list_sort(list_distinct({WORDS.format('text')})), lambda t: '"' || t || '"'), ' OR ') AS terms FROM documents""")
+def match_terms(spark, d):
+    terms = F.array_sort(F.array_distinct(T.words(F.col("text"))))
+    quoted = F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 50), " ").alias("words"), quoted.alias("terms"))
+
+
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> ''), ' ') AS words
+  FROM conversations""")
+def normalize_answer(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.normalize_answer(F.col("text")), " ").alias("words"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(text, '(?i)\b(authorization|api[_-]?key|access[_-]?token|password|secret)\s*[:=]\s*[^\s,}]+|\bBearer\s+[^\s,}]+', '[REDACTED]', 'g')) AS masked FROM documents""")
+def redact(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("masked"))
+
+
+@query(r"""SELECT page_id, regexp_full_match(url, '(?s)https://(?:.*/)?en/[^/]*\.html') AS english, regexp_full_match(url, '(?s)http[^/]:.*') AS secure FROM pages""")
+def glob_match(spark, d):
+    return table(spark, d, "pages").select("page_id", T.glob_match(F.col("url"), "https://**/en/*.html").alias("english"), T.glob_match(F.col("url"), "http?:**").alias("secure"))
+
+
+@query("""WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'limit of 100 requests per day' WHEN 1 THEN 'Resource has been exhausted (e.g. check quota)'
+  WHEN 2 THEN 'RPD reached' ELSE 'slow down' END AS message, CASE event_id % 3 WHEN 0 THEN ' ' || round(value, 2) WHEN 1 THEN 'soon' ELSE '-3' END AS header FROM events)
+SELECT event_id, regexp_matches(message, '(?i)per day|daily|\\bRPD\\b|\\bTPD\\b|PerDay') AS daily, CASE WHEN TRY_CAST(trim(header) AS DOUBLE) >= 0 THEN TRY_CAST(trim(header) AS DOUBLE) END AS wait FROM m""")
+def provider_messages(spark, d):
+    e, n = table(spark, d, "events"), F.col("event_id")
+    message = F.when(n % 4 == 0, "limit of 100 requests per day").when(n % 4 == 1, "Resource has been exhausted (e.g. check quota)").when(n % 4 == 2, "RPD reached").otherwise("slow down")
+    header = F.when(n % 3 == 0, F.concat(F.lit(" "), F.round("value", 2).cast("string"))).when(n % 3 == 1, "soon").otherwise("-3")
+    return e.select("event_id", T.daily_quota(message).alias("daily"), T.retry_after(header).alias("wait"))
+
+
+@query("""SELECT vec_id, i AS component, round(x / sqrt(list_inner_product(v, v)), 6) AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(embedding)::DOUBLE * 3 AS x3, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings)""")
+def l2_normalize(spark, d):
+    v = F.transform("embedding", lambda x: x * F.lit(3.0))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(T.l2_normalize(v)).alias("component", "x"))
+    return rows.select("vec_id", "component", F.round("x", 6).alias("value"))
+
+
+# ---- chunkers and markup --------------------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, ordinal, start_char, end_char, token_count, chunk_id, md5(text) AS text_md5 FROM chunk")
+def chunk_fixed(spark, d):
+    return chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char", "token_count", "chunk_id", F.md5("text").alias("text_md5"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    return chunking.recursive_chunks(documents(spark, d))
+
+
+@query()
+def chunk_markdown(spark, d):
+    text = F.regexp_replace(F.concat(F.lit("# Top\n"), F.col("text")), r"\n", "\n\n## Part\n")
+    return chunking.markdown_chunks(documents(spark, d).withColumn("text", text))
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(text, '\n', chr(12), 'g') AS t FROM documents),
+b AS (SELECT doc_id, 'Head' || chr(10) || regexp_replace(t, chr(12), chr(10) || 'Foot' || chr(12) || 'Head' || chr(10), 'g') || chr(10) || 'Foot' AS t, len(string_split(t, chr(12))) AS pages, t AS bare FROM p)
+SELECT doc_id, pages >= 3 AS stripped FROM b""")
+def boilerplate_strip(spark, d):
+    pages = F.regexp_replace("text", "\n", "\nFoot\fHead\n")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Head\n"), pages, F.lit("\nFoot")).alias("text"))
+    found = chunking.strip_boilerplate(docs)
+    return found.select("doc_id", (~F.col("text").rlike(r"(?m)^(Head|Foot)$")).alias("stripped"))
+
+
+@query()
+def html_extract(spark, d):
+    rows = table(spark, d, "pages").select("page_id", H.html_parts("html").alias("p"))
+    return rows.select("page_id", "p.text", "p.title")
+
+
+@query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", H.title_regex(F.col("html")).alias("title"))
+
+
+# ---- filters --------------------------------------------------------------------------------
+
+#: Metadata of documents and chunks: an explicit null, an override, numbers, booleans and a dotted key.
+META = f"""{CHUNKS}, md AS (SELECT chunk.*, d.lang, d.source, d.n_chars, CASE WHEN ordinal % 3 = 0 THEN 'xx' ELSE d.lang END AS eff, ordinal % 2 = 0 AS first_half,
+  CASE WHEN ordinal % 5 <> 0 THEN ordinal END AS pos FROM chunk JOIN documents d ON d.doc_id::VARCHAR = chunk.doc_id)"""
+
+
+def metadata(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = documents(spark, d).select("doc_id", F.concat(F.lit("docs/"), "doc_id").alias("source_uri"), F.parse_json(F.to_json(F.struct("lang", F.col("source").alias("a.source"), "n_chars"))).alias("metadata"))
+    own = F.to_json(
+        F.struct(F.when(F.col("ordinal") % 3 == 0, F.lit("xx")).alias("lang"), (F.col("ordinal") % 2 == 0).alias("half"), F.when(F.col("ordinal") % 5 != 0, F.col("ordinal")).alias("pos")), {"ignoreNullFields": "false"}
+    )
+    return chunks(spark, d).withColumn("metadata", F.parse_json(own)), docs
+
+
+def _filter(name: str, found: dict, where: str) -> None:
+    def run(spark, d):
+        c, docs = metadata(spark, d)
+        return filters.filter_chunk_ids(c, docs, found)
+
+    run.__name__ = name
+    query(f"WITH {META} SELECT chunk_id FROM md WHERE {where}")(run)
+
+
+_filter("filter_eq", {"lang": "fr"}, "eff = 'fr'")
+_filter("filter_eq_bool_is_number", {"half": 1}, "first_half")
+_filter("filter_ne", {"lang": {"$ne": "en"}}, "eff <> 'en'")
+_filter("filter_ne_cross_kind", {"n_chars": {"$ne": "text"}}, "n_chars IS NOT NULL")
+_filter("filter_range", {"n_chars": {"$gte": 500, "$lt": 5000.5}, "ordinal": {"$gt": 0}}, "n_chars >= 500 AND n_chars < 5000.5 AND ordinal > 0")
+_filter("filter_in", {"lang": {"$in": ["xx", "de", 3]}}, "eff IN ('xx', 'de')")
+_filter("filter_nin", {"pos": {"$nin": [1, 2]}}, "pos IS NOT NULL AND pos NOT IN (1, 2)")
+_filter("filter_prefix", {"a.source": {"$prefix": "src1"}}, "starts_with(source, 'src1')")
+_filter("filter_exists", {"pos": {"$exists": False}}, "pos IS NULL")
+_filter("filter_not", {"$not": {"lang": "en", "pos": {"$gt": 2}}}, "NOT (eff = 'en' AND coalesce(pos > 2, false))")
+_filter("filter_and_or", {"$or": [{"lang": "es"}, {"$and": [{"half": True}, {"source_uri": {"$prefix": "docs/1"}}]}]}, "eff = 'es' OR (first_half AND starts_with('docs/' || doc_id, 'docs/1'))")
+_filter("filter_fallback_chunk_over_doc", {"lang": "xx"}, "ordinal % 3 = 0")
+
+# ---- dense and lexical rankings -------------------------------------------------------------
+
+
+def vector_queries(spark, d, every: int = 20) -> DataFrame:
+    return table(spark, d, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+DENSE = """x AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 {where}),
+dense AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM x) WHERE rank <= {k})"""
+
+
+@query(f"WITH {DENSE.format(where='', k=10)} {RANKED} dense")
+def dense_topk(spark, d):
+    return ranked(retrieval.dense(vector_queries(spark, d), vectors(spark, d), 10))
+
+
+@query(f"WITH {DENSE.format(where='AND v.label % 2 = 0', k=10)} {RANKED} dense")
+def dense_topk_filtered(spark, d):
+    ids = table(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("chunk_id"))
+    return ranked(retrieval.dense(vector_queries(spark, d), vectors(spark, d), 10, ids))
+
+
+@query(f"WITH {DENSE.format(where='', k=5)} {RANKED} dense")
+def dense_sql_topk(spark, d):
+    return ranked(retrieval.dense_sql(vector_queries(spark, d), vectors(spark, d), 5))
+
+
+def hashed_sql(name: str, rows: str) -> str:
+    """CTEs ending in {name}(id, slot, x): non-zero components of hash embeddings."""
+    return f"""{name}_t AS (SELECT id, (('0x' || substr(sha1(w), 1, 8))::BIGINT % 64)::INT AS slot, count(*)::DOUBLE AS c
+  FROM (SELECT id, unnest({SPLIT.format('lower(nfc_normalize(text))')}) AS w FROM {rows}) GROUP BY ALL),
+{name} AS (SELECT id, slot, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS x FROM {name}_t)"""
+
+
+@query("WITH " + hashed_sql("h", "(SELECT item_id AS id, text FROM benchmark)") + " SELECT id AS item_id, slot, round(x, 6) AS value FROM h")
+def hash_embed(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(T.hash_embedding(F.col("text"), 64)).alias("slot", "x"))
+    return rows.where("x <> 0").select("item_id", "slot", F.round("x", 6).alias("value"))
+
+
+@query(
+    "WITH "
+    + hashed_sql("a", "(SELECT item_id AS id, text FROM benchmark)")
+    + ", "
+    + hashed_sql("b", "(SELECT doc_id AS id, text FROM documents)")
+    + f""", s AS (SELECT a.id AS query_id, b.id AS chunk_id, round(sum(a.x * b.x), 9) AS score FROM a JOIN b USING (slot) GROUP BY ALL),
+z AS (SELECT item_id AS query_id, doc_id AS chunk_id, coalesce(score, 0) AS score FROM benchmark, documents LEFT JOIN s ON s.query_id = item_id AND s.chunk_id = doc_id),
+r AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM z) WHERE rank <= 5) {RANKED} r"""
+)
+def hash_dense_topk(spark, d):
+    embed = lambda t: T.hash_embedding(F.col(t), 64).alias("vector")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), embed("text"))
+    v = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), embed("text"))
+    return ranked(retrieval.dense(q, v, 5))
+
+
+@query(f"WITH {CHUNKS}, {LONG_Q}, {bm25_sql('r', 10)} {RANKED} r")
+def bm25_topk(spark, d):
+    return ranked(retrieval.bm25(questions(spark, d), chunks(spark, d), 10))
+
+
+ENGLISH = "pool AS (SELECT * FROM chunk WHERE doc_id IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en'))"
+
+
+def english(spark, d) -> DataFrame:
+    docs = documents(spark, d).where("lang = 'en'").select("doc_id")
+    return chunks(spark, d).join(docs, "doc_id", "left_semi").select("chunk_id")
+
+
+@query(f"WITH {CHUNKS}, {ENGLISH}, {SHORT_Q}, {bm25_sql('r', 5, pool='pool')} {RANKED} r")
+def bm25_filtered_local_stats(spark, d):
+    return ranked(retrieval.bm25(questions(spark, d, True), chunks(spark, d), 5, english(spark, d)))
+
+
+@query(f"WITH {CHUNKS}, {ENGLISH}, {SHORT_Q}, {bm25_sql('r', 5, pool='pool', counted='chunk', idf='greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))')} {RANKED} r")
+def bm25_robertson_global_stats(spark, d):
+    return ranked(retrieval.bm25(questions(spark, d, True), chunks(spark, d), 5, english(spark, d), "robertson", "corpus"))
+
+
+@query(f"WITH {CHUNKS}, {LONG_Q}, {SHORT_Q.replace('q AS', 'q2 AS', 1)}, {bm25_sql('a', 20)}, {bm25_sql('b', 20, q='q2', idf='greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))')}, {rrf_sql('r', ['a', 'b'], 10)} {RANKED} r")
+def rrf_hybrid(spark, d):
+    c = chunks(spark, d)
+    short = questions(spark, d, True)
+    found = retrieval.hybrid(questions(spark, d), [lambda q, k: retrieval.bm25(q, c, k), lambda q, k: retrieval.bm25(short, c, k, idf="robertson")], 10, 20)
+    return ranked(found)
+
+
+TAIL = "array_to_string(list_reverse((list_reverse(" + SPLIT.format("text") + "))[1:8]), ' ')"
+
+
+@query(
+    f"WITH {CHUNKS}, {SHORT_Q}, p AS (SELECT item_id AS query_id, {TAIL} AS text FROM benchmark WHERE item_id % 3 > 0), {bm25_sql('a', 20)}, {bm25_sql('b', 20, q='p')}, "
+    f"a2 AS (SELECT * FROM a WHERE query_id % 3 > 0), {rrf_sql('r', ['a2', 'b'], 10)} {RANKED} r UNION ALL {RANKED} a WHERE query_id % 3 = 0 AND rank <= 10"
+)
+def rrf_multi_query(spark, d):
+    words = T.split_blanks(F.col("text"))
+    tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 7), F.lit(8)), " ")
+    extra = questions(spark, d).where("query_id % 3 > 0").select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("position"), tail.alias("text")), F.struct(F.lit(1).alias("position"), head("text").alias("text")))).alias("x"))
+    extra = extra.select("query_id", "x.position", "x.text")
+    return ranked(retrieval.multi_query(questions(spark, d, True), extra, lambda q, k: retrieval.bm25(q, chunks(spark, d), k), 10, 20))
+
+
+@query()
+def mmr_topk(spark, d):
+    pool = retrieval.dense(vector_queries(spark, d), vectors(spark, d), 20)
+    return ranked(retrieval.mmr(pool, vectors(spark, d), 5, 0.5))
+
+
+@query(
+    f"""WITH {CHUNKS}, {SHORT_Q}, {bm25_sql('r', 3)},
+w AS (SELECT chunk_id, doc_id, ordinal, text, count(*) OVER near AS n, min(start_char) OVER near AS s, max(end_char) OVER near AS e, sum(token_count) OVER near AS tokens FROM chunk
+  WINDOW near AS (PARTITION BY doc_id ORDER BY ordinal RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+x AS (SELECT w.*, CASE WHEN n = 1 THEN w.text ELSE substr(d.text, s + 1, e - s) END AS wide FROM w JOIN documents d ON d.doc_id::VARCHAR = w.doc_id)
+SELECT query_id, rank, CASE WHEN n = 1 THEN chunk_id ELSE substr(sha256(doc_id || chr(0) || ordinal || chr(0) || nfc_normalize(wide)), 1, 16) END AS parent_id, doc_id, s AS start_char, e AS end_char, tokens::BIGINT AS token_count,
+  round(score, 6) AS score FROM r JOIN x USING (chunk_id)"""
+)
+def parent_expand(spark, d):
+    docs, c = documents(spark, d), chunks(spark, d)
+    found = retrieval.parent_expand(retrieval.bm25(questions(spark, d, True), c, 3), c, docs, 1)
+    return found.select("query_id", "rank", "parent_id", "doc_id", "start_char", "end_char", "token_count", F.round("score", 6).alias("score"))
+
+
+RERANKED = f"""{CHUNKS}, {SHORT_Q}, {bm25_sql('r', 10)},
+s AS (SELECT r.query_id, r.rank, r.chunk_id, CASE WHEN len({WORDS.format('q.text')}) = 0 THEN 0.0 ELSE
+  len(list_intersect(list_distinct({WORDS.format('q.text')}), list_distinct({WORDS.format('chunk.text')})))::DOUBLE / len(list_distinct({WORDS.format('q.text')})) END AS score
+  FROM r JOIN q USING (query_id) JOIN chunk USING (chunk_id)),
+rr AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, chunk_id, score FROM s) WHERE rank <= 5)"""
+
+
+@query(f"WITH {RERANKED} {RANKED} rr")
+def rerank_stable(spark, d):
+    c, q = chunks(spark, d), questions(spark, d, True)
+    found = retrieval.bm25(q, c, 10)
+    return ranked(retrieval.rerank(found, retrieval.lexical_scores(found, q, c), 5))
+
+
+@query(f"WITH {CHUNKS}, {SHORT_Q}, {bm25_sql('r', 3)} SELECT query_id, rank, chunk_id, doc_id, ordinal, md5(text) AS text_md5 FROM r JOIN chunk USING (chunk_id)")
+def hydrate(spark, d):
+    c = chunks(spark, d)
+    rows = retrieval.hydrate(retrieval.bm25(questions(spark, d, True), c, 3), c)
+    return rows.select("query_id", "rank", "chunk_id", "doc_id", "ordinal", F.md5("text").alias("text_md5"))
+
+
+# ---- context, prompts, answers --------------------------------------------------------------
+
+BLOCKS = f"""{CHUNKS}, {SHORT_Q}, {bm25_sql('r', 8)},
+k0 AS (SELECT query_id, rank, chunk_id, text, trim(regexp_replace(nfc_normalize(text), '^\\s+|\\s+$', '', 'g')) AS norm FROM r JOIN chunk USING (chunk_id)),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, norm ORDER BY rank) AS copy FROM k0 WHERE norm <> ''),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS label FROM k1 WHERE copy = 1),
+k3 AS (SELECT *, '[' || label || ']' || chr(10) || text AS block FROM k2),
+k4 AS (SELECT *, (sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) + 2 * (label - 1) + 3) // 4 AS joined FROM k3),
+blocks AS (SELECT query_id, label, chunk_id, block, (length(block) + 3) // 4 AS token_count, joined::INT AS joined_tokens, t AS truncated
+  FROM (SELECT *, max((joined > 600)::INT) OVER (PARTITION BY query_id) = 1 AS t FROM k4) WHERE joined <= 600)"""
+
+
+def blocks(spark, d) -> DataFrame:
+    c = chunks(spark, d)
+    return context.context_blocks(retrieval.hydrate(retrieval.bm25(questions(spark, d, True), c, 8), c.select("chunk_id", "text")), 600)
+
+
+@query(f"WITH {BLOCKS} SELECT query_id, label, chunk_id, md5(block) AS block_md5, token_count, joined_tokens, truncated FROM blocks")
+def context_budget_blocks(spark, d):
+    return blocks(spark, d).select("query_id", "label", "chunk_id", F.md5("block").alias("block_md5"), "token_count", "joined_tokens", "truncated")
+
+
+@query("SELECT o_orderkey, greatest(1, trunc((o_orderkey % 9000 - 512 - o_custkey % 700) * 0.85)::INT) AS budget FROM orders")
+def context_budget(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", context.context_budget(F.col("o_orderkey") % 9000, F.lit(512), F.col("o_custkey") % 700).alias("budget"))
+
+
+@query(
+    f"""WITH {BLOCKS}, x AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY label) AS ctx FROM blocks GROUP BY query_id),
+n AS (SELECT q.query_id, q.text, coalesce(ctx, '') AS ctx, substr(sha256(q.query_id || '#0'), 1, 32) AS nonce FROM q LEFT JOIN x USING (query_id))
+SELECT query_id, nonce, md5('=== BEGIN UNTRUSTED CONTEXT ' || nonce || ' ===' || chr(10) || ctx || chr(10) || '=== END UNTRUSTED CONTEXT ' || nonce || ' ===' || chr(10) || chr(10) || 'Question: ' || text) AS user_md5 FROM n"""
+)
+def prompt_text(spark, d):
+    found = context.prompts(questions(spark, d, True), context.context_texts(blocks(spark, d)), F.col("query_id"))
+    return found.select("query_id", "nonce", F.md5("user").alias("user_md5"))
+
+
+@query(
+    f"""WITH {CHUNKS}, {SHORT_Q}, {bm25_sql('r', 5)}, a AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN score END) AS top, avg(CASE WHEN rank > 1 THEN score END) AS rest FROM r GROUP BY query_id)
+SELECT q.query_id, coalesce(n, 0) < 2 OR coalesce(top < 12, false) OR coalesce(n >= 2 AND top - rest < 1.5, false) AS insufficient FROM q LEFT JOIN a USING (query_id)"""
+)
+def abstain_flags(spark, d):
+    q = questions(spark, d, True)
+    return context.insufficient(q, retrieval.bm25(q, chunks(spark, d), 5), 2, 1.5, 12.0)
+
+
+ANSWERS = "ans AS (SELECT query_id, 'As [1] says, see [2][' || (query_id % 9) || '] and 【3】, not [1,2] or [0] but [02].' AS answer FROM q WHERE query_id % 4 > 0 UNION ALL SELECT query_id, 'Nothing.' FROM q WHERE query_id % 4 = 0)"
+
+
+def answers(spark, d) -> DataFrame:
+    text = F.concat(F.lit("As [1] says, see [2]["), (F.col("query_id") % 9).cast("string"), F.lit("] and 【3】, not [1,2] or [0] but [02]."))
+    return questions(spark, d, True).select("query_id", F.when(F.col("query_id") % 4 > 0, text).otherwise("Nothing.").alias("answer"))
+
+
+MARKED = r"marks AS (SELECT query_id, unnest(regexp_extract_all(answer, '[\[【](\d+)[\]】]', 1))::BIGINT AS label FROM ans)"
+
+
+@query(f"WITH {BLOCKS}, {ANSWERS}, {MARKED} SELECT DISTINCT query_id, label, chunk_id, doc_id, start_char, end_char FROM marks JOIN blocks USING (query_id, label) JOIN chunk USING (chunk_id)")
+def citations_parse(spark, d):
+    return context.citations(answers(spark, d), blocks(spark, d), chunks(spark, d))
+
+
+@query(
+    f"""WITH {BLOCKS}, {ANSWERS}, {MARKED}, m AS (SELECT marks.query_id, count(*) AS total, count(chunk_id) AS resolved, count(DISTINCT CASE WHEN chunk_id IS NOT NULL THEN marks.label END) AS cited
+  FROM marks LEFT JOIN blocks ON blocks.query_id = marks.query_id AND blocks.label = marks.label GROUP BY marks.query_id)
+SELECT ans.query_id, coalesce(total, 0) AS total_markers, coalesce(resolved, 0) AS resolved_markers, coalesce(cited, 0) AS n_citations, CASE WHEN total IS NULL THEN 1.0 ELSE round(resolved::DOUBLE / total, 6) END AS validity_rate FROM ans LEFT JOIN m USING (query_id)"""
+)
+def citation_report(spark, d):
+    return context.citation_report(answers(spark, d), blocks(spark, d)).withColumn("validity_rate", F.round("validity_rate", 6))
+
+
+@query()
+def generated_answers(spark, d):
+    found = context.prompts(questions(spark, d, True), context.context_texts(blocks(spark, d)), F.col("query_id"))
+    return generation.answer(found, generation.ExtractiveGenerator)
+
+
+@query("""SELECT o_orderkey AS query_id, 'p' AS provider, 'm' || o_orderkey % 3 AS model, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 100 END AS prompt, 50 AS completion,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 100 END + 50 AS total, round(CASE o_orderkey % 3 WHEN 0 THEN ((CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 100 END) * 0.5 + 50 * 1.5) / 1e6
+  WHEN 1 THEN ((CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 100 END) * 3.0 + 50 * 15.0) / 1e6 ELSE 0 END, 9) AS cost_usd FROM orders""")
+def usage_cost(spark, d):
+    o = table(spark, d, "orders")
+    usage = o.select(F.col("o_orderkey").alias("query_id"), F.lit("p").alias("provider"), F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")).alias("model"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("prompt_tokens"), F.lit(50).alias("completion_tokens"), F.lit(100).alias("local_prompt"), F.lit(7).alias("local_completion"))
+    prices = spark.createDataFrame([("m0", 0.5, 1.5), ("m1", 3.0, 15.0)], "model string, prompt_price double, completion_price double")
+    return context.usage_cost(usage, prices).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+# ---- evaluation -----------------------------------------------------------------------------
+
+GOLD = "gold AS (SELECT b.item_id AS query_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS gold_idx, d.doc_id::VARCHAR AS doc_id, strpos(d.text, b.text) - 1 AS s, strpos(d.text, b.text) - 1 + length(b.text) AS e FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def gold(spark, d) -> DataFrame:
+    """Where passages stand in documents; passages are indexed by their first word to avoid comparing all with all."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), T.split_blanks(F.col("text"))[0].alias("word"))
+    words = documents(spark, d).select("doc_id", "text", F.explode(F.array_distinct(T.split_blanks(F.col("text")))).alias("word"))
+    from pyspark.sql import Window
+
+    rows = words.join(b, "word").where(F.contains("text", F.col("passage")))
+    at = F.expr("locate(passage, text) - 1")
+    order = Window.partitionBy("query_id").orderBy(F.col("doc_id").cast("long"))
+    return rows.select("query_id", (F.row_number().over(order) - 1).alias("gold_idx"), "doc_id", at.alias("start_char"), (at + F.length("passage")).alias("end_char"))
+
+
+def gold_hits(spark, d) -> DataFrame:
+    c = chunks(spark, d)
+    found = retrieval.bm25(questions(spark, d, True), c, 10)
+    return found.join(c.select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id")
+
+
+EVAL = f"""{CHUNKS}, {SHORT_Q}, {bm25_sql('r', 10)}, {GOLD},
+cov AS (SELECT DISTINCT r.query_id, r.rank, gold_idx FROM r JOIN chunk USING (chunk_id) JOIN gold ON gold.query_id = r.query_id AND gold.doc_id = chunk.doc_id AND chunk.start_char < gold.e AND gold.s < chunk.end_char),
+fst AS (SELECT query_id, gold_idx, min(rank) AS rank FROM cov GROUP BY ALL),
+sz AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id),
+item AS (SELECT query_id, n_gold, coalesce(1.0::DOUBLE / (SELECT min(rank) FROM fst WHERE fst.query_id = sz.query_id), 0) AS mrr,
+  (SELECT count(*) FROM fst WHERE fst.query_id = sz.query_id AND rank <= 5)::DOUBLE / n_gold AS recall_5,
+  (SELECT count(DISTINCT rank) FROM cov WHERE cov.query_id = sz.query_id AND rank <= 5)::DOUBLE / 5 AS precision_5,
+  (SELECT (count(*) > 0)::INT FROM cov WHERE cov.query_id = sz.query_id AND rank <= 5) AS hit_5,
+  coalesce((SELECT sum(1 / log2(rank + 1)) FROM (SELECT DISTINCT query_id, rank FROM fst) f WHERE f.query_id = sz.query_id AND rank <= 5), 0) / list_sum(list_transform(range(1, least(n_gold, 5) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_5 FROM sz)"""
+
+
+@query(f"WITH {EVAL} SELECT query_id, n_gold, round(mrr, 6) AS mrr, round(recall_5, 6) AS recall_5, round(precision_5, 6) AS precision_5, hit_5, round(ndcg_5, 6) AS ndcg_5 FROM item")
+def eval_recall_mrr_ndcg(spark, d):
+    found = evaluation.item_metrics(gold_hits(spark, d), gold(spark, d), (5,))
+    return found.select("query_id", "n_gold", *[F.round(c, 6).alias(c) for c in ("mrr", "recall_5", "precision_5")], "hit_5", F.round("ndcg_5", 6).alias("ndcg_5"))
+
+
+FLAGS = "fl AS (SELECT q.query_id, coalesce((SELECT max(score) FROM r WHERE r.query_id = q.query_id), 0) < 14 AS insufficient FROM q)"
+SUMMARY = f"""{EVAL}, {FLAGS}, sm AS (SELECT 'mrr' AS metric, avg(mrr) AS value FROM item UNION ALL SELECT 'recall_5', avg(recall_5) FROM item UNION ALL SELECT 'precision_5', avg(precision_5) FROM item
+  UNION ALL SELECT 'hit_5', avg(hit_5) FROM item UNION ALL SELECT 'ndcg_5', avg(ndcg_5) FROM item
+  UNION ALL SELECT 'false_abstain_rate', avg(insufficient::INT) FROM fl WHERE query_id IN (SELECT query_id FROM sz) UNION ALL SELECT 'abstain_rate', avg(insufficient::INT) FROM fl WHERE query_id NOT IN (SELECT query_id FROM sz))"""
+
+
+def summary(spark, d) -> DataFrame:
+    q = questions(spark, d, True)
+    flags = context.insufficient(q, gold_hits(spark, d), 1, 0.0, 14.0)
+    return evaluation.evaluate_retrieval(q, gold_hits(spark, d), gold(spark, d), flags, (5,))
+
+
+@query(f"WITH {SUMMARY} SELECT metric, round(value, 6) AS value FROM sm WHERE value IS NOT NULL")
+def eval_summary(spark, d):
+    return summary(spark, d).select("metric", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {SUMMARY}, th(metric, baseline, tolerance) AS (VALUES ('recall_5', 0.5, 0.05), ('mrr', 0.99, 0.01)) SELECT metric, round(value, 6) AS value, round(baseline - tolerance, 9)::DOUBLE AS floor, value >= round(baseline - tolerance, 9) AS passed FROM sm JOIN th USING (metric)")
+def threshold_gate(spark, d):
+    th = spark.createDataFrame([("recall_5", 0.5, 0.05), ("mrr", 0.99, 0.01)], "metric string, baseline double, tolerance double")
+    return evaluation.gate(summary(spark, d), th).withColumn("value", F.round("value", 6))
+
+
+NORM = r"list_filter(string_split_regex(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH p AS (SELECT a.conv_id, a.turn, {NORM.format('a.text')} AS p, {NORM.format('b.text')} AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+c AS (SELECT conv_id, turn, len(p) AS np, len(r) AS nr, list_sum(list_transform(list_intersect(list_distinct(p), list_distinct(r)), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) AS common FROM p)
+SELECT conv_id, turn, round(CASE WHEN np = 0 AND nr = 0 THEN 1.0 ELSE coalesce(2.0 * common / (np + nr), 0) END, 6) AS f1 FROM c"""
+)
+def token_f1(spark, d):
+    a = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prediction"))
+    b = table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    pairs = a.join(b, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("pair_id"), "prediction", "reference")
+    return evaluation.token_f1(pairs).select("pair_id.conv_id", "pair_id.turn", F.round("f1", 6).alias("f1"))
+
+
+@query("""SELECT item_id, item_id % 2 = 0 AS abstained FROM benchmark""")
+def answer_abstained(spark, d):
+    text = F.when(F.col("item_id") % 2 == 0, F.lit(context.ABSTENTION.replace(" ", "  ") + "\n")).otherwise(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", evaluation.abstained(text).alias("abstained"))
+
+
+# ---- store ----------------------------------------------------------------------------------
+
+SYNC = """sto AS (SELECT 'docs/' || doc_id AS source_uri, doc_id::VARCHAR AS doc_id, substr(sha256(nfc_normalize(text)), 1, 32) AS h FROM documents WHERE doc_id % 5 <> 0),
+dsk AS (SELECT 'docs/' || doc_id AS source_uri, doc_id::VARCHAR AS doc_id, substr(sha256(nfc_normalize(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END)), 1, 32) AS h FROM documents WHERE doc_id % 3 <> 0),
+diff AS (SELECT source_uri, coalesce(sto.doc_id, dsk.doc_id) AS doc_id, CASE WHEN sto.h IS NULL THEN 'added' WHEN dsk.h IS NULL THEN 'deleted' WHEN sto.h = dsk.h THEN 'unchanged' ELSE 'updated' END AS status FROM dsk FULL OUTER JOIN sto USING (source_uri))"""
+
+
+def stored_and_disk(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = documents(spark, d).select("doc_id", F.concat(F.lit("docs/"), "doc_id").alias("source_uri"), "text")
+    n = F.col("doc_id").cast("long")
+    hashed = lambda r: r.withColumn("content_hash", T.content_hash(F.col("text")))
+    edited = F.when(n % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return hashed(rows.where(n % 5 != 0)), hashed(rows.where(n % 3 != 0).withColumn("text", edited))
+
+
+@query(f"WITH {SYNC} SELECT source_uri, doc_id, status FROM diff")
+def sync_diff(spark, d):
+    old, disk = stored_and_disk(spark, d)
+    return store.changes(disk, old)
+
+
+@query(f"WITH {SYNC} SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'deleted') AS deleted, (SELECT count(*) FROM sto) AS stored, count(*) FILTER (status = 'deleted') > 0.3 * (SELECT count(*) FROM sto) AS over_delete_guard FROM diff")
+def sync_guard(spark, d):
+    old, disk = stored_and_disk(spark, d)
+    return store.guarded(store.changes(disk, old), old, 0.3)
+
+
+@query(f"WITH {SYNC} SELECT coalesce(dsk.doc_id, sto.doc_id) AS doc_id, coalesce(dsk.h, sto.h) AS content_hash FROM sto FULL OUTER JOIN dsk USING (doc_id)")
+def ingest_incremental(spark, d):
+    old, disk = stored_and_disk(spark, d)
+    fresh = disk.join(old.select("doc_id", F.col("content_hash").alias("known")), "doc_id", "left").where("known is null or known <> content_hash")
+    return store.replaced(old.select("doc_id", "content_hash"), fresh.select("doc_id", "content_hash"), "doc_id")
+
+
+@query(f"WITH {CHUNKS} SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'chunks', count(*) FROM chunk WHERE doc_id::BIGINT % 4 <> 0 UNION ALL SELECT 'embeddings', count(*) FROM (SELECT DISTINCT chunk_id FROM chunk WHERE doc_id::BIGINT % 4 <> 0)")
+def delete_cascade(spark, d):
+    docs, c = documents(spark, d), chunks(spark, d)
+    gone = docs.where(F.col("doc_id").cast("long") % 4 == 0).select("doc_id")
+    left = store.deleted(docs, c, c.select("chunk_id"), gone)
+    count = lambda t, n: t.agg(F.lit(n).alias("name"), F.count("*").alias("n"))
+    return count(left[0], "documents").unionByName(count(left[1], "chunks")).unionByName(count(left[2], "embeddings"))
+
+
+@query("SELECT DISTINCT sha256(nfc_normalize(text)) AS text_hash FROM documents WHERE sha256(nfc_normalize(text)) NOT IN (SELECT sha256(nfc_normalize(text)) FROM documents WHERE doc_id % 3 = 0)")
+def embedding_cache_misses(spark, d):
+    docs = documents(spark, d)
+    cache = docs.where(F.col("doc_id").cast("long") % 3 == 0).select(F.lit("m").alias("model_id"), T.fingerprint(F.col("text")).alias("text_hash"))
+    return store.cache_misses(docs, cache, "m").select("text_hash")
+
+
+@query(
+    """WITH p AS (SELECT a.vec_id AS chunk_id, b.vec_id AS winner_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id // 2 < a.vec_id // 2)
+SELECT chunk_id, arg_min(winner_id, (-score, winner_id)) AS winner_id, round(max(score), 6) AS score FROM p WHERE score >= 0.4 GROUP BY chunk_id"""
+)
+def near_duplicates(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 2).alias("doc_id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
+    return store.near_duplicates(rows, 0.4).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {CHUNKS} SELECT d.doc_id::VARCHAR AS doc_id, (SELECT count(*) FROM chunk WHERE chunk.doc_id = d.doc_id::VARCHAR) AS n_chunks FROM documents d")
+def inspect_counts(spark, d):
+    docs = documents(spark, d)
+    n = chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return docs.select("doc_id").join(n, "doc_id", "left").na.fill(0)
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, ordinal, chunk_id FROM chunk WHERE doc_id = '7'")
+def get_chunks(spark, d):
+    return chunks(spark, d).where("doc_id = '7'").orderBy("ordinal").select("doc_id", "ordinal", "chunk_id")
