@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Whitespace as Python's str methods see it, without and with the line feed.
 BLANK = r"[ \t\x0B\f\r\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -61,7 +63,7 @@ def heuristic_tokens(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores, lower-cased."""
-    return F.regexp_extract_all(F.lower(normalize_text(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(normalize_text(text)), r"[^\p{L}\p{N}_]+"), "")
 
 
 def match_terms(text: Column) -> Column:
@@ -131,7 +133,17 @@ def token_slot(token: Column, dim: int) -> Column:
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Counts of token slots as a unit vector: an embedder without a model."""
-    slots = F.transform(split_blanks(F.lower(normalize_text(text))), lambda t: token_slot(t, dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return l2_normalize(counts)
+    """Counts of token slots as a unit vector: an embedder without a model. Zero for texts without tokens."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            counts = np.zeros(dim)
+            for token in unicodedata.normalize("NFC", (t or "").replace("\r\n", "\n").replace("\r", "\n")).lower().split():
+                counts[int.from_bytes(hashlib.sha1(token.encode()).digest()[:4], "big") % dim] += 1
+            norm = np.sqrt((counts * counts).sum())
+            out.append(counts / norm if norm else counts)
+        return pd.Series(out)
+
+    return embed(text)

@@ -119,7 +119,7 @@ def match_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 50), " ").alias("words"), quoted.alias("terms"))
 
 
-@query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> ''), ' ') AS words
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ') AS words
   FROM conversations""")
 def normalize_answer(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.normalize_answer(F.col("text")), " ").alias("words"))
@@ -528,7 +528,7 @@ def threshold_gate(spark, d):
     return evaluation.gate(summary(spark, d), th).withColumn("value", F.round("value", 6))
 
 
-NORM = r"list_filter(string_split_regex(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> '')"
+NORM = r"list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
 
 
 @query(

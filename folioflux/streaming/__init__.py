@@ -1,0 +1 @@
+"""Incremental ingest of arriving files: an extension beyond the batch operators."""
