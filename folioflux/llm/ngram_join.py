@@ -7,10 +7,11 @@ pair's overlap from above (bits that differ are in one set only), and pairs that
 decided by exact intersection of the sorted sets. Rarity comes from a table of shingle
 counts over all documents, of fixed size.
 
-A first round verifies one promising pair for each class and merges what it links, so
-that a large group of near copies isn't expanded into all its pairs; the second
-round takes every pair of classes that still lie in different components. All links
-between components are thus found, whatever the order.
+Small tiles give all their pairs. In larger ones a first round takes one promising pair for
+each class and merges what is found to link, so that a large group of near copies isn't
+expanded into all its pairs; the second round takes every pair of classes that still lie in
+different components. All links between components are thus found, whatever the order.
+Only texts of pairs that pass the bitmaps are read again for their exact sets.
 
 Sets are held as 64-bit hashes; two texts are taken for one class, or two shingles for one,
 wrongly with probability about n * n / 2**65.
@@ -36,6 +37,10 @@ from folioflux.llm.shingles import DENOMINATOR, NUMERATOR, fingerprint, shingle_
 COUNTERS, PIECE = 1 << 16, 1 << 12
 #: Classes of a task's texts that are remembered, so that copies aren't sent again; only a saving.
 SEEN = 1 << 20
+#: Classes of a tile whose pairs are listed at once.
+SMALL = 8
+#: Bits of the filter that spares most texts their second reading; only a saving.
+FILTER = 1 << 22
 
 
 def linked_sizes(overlap, a, b):
@@ -48,18 +53,19 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Rows (doc_id, n, fp) as a written table, and the counts of all documents' shingles by their top bits."""
+    """Rows (doc_id, n, fp, bits) as a written table, and the counts of all documents' shingles by their top bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.int64() if kind == "bigint" else None
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            n, fp, waiting, held = [], [], [], 0
+            n, fp, bits, waiting, held = [], [], [], [], 0
             for text in batch.column(1):
                 h = shingle_set(text.as_py())
                 n.append(len(h))
                 fp.append(fingerprint(h) if len(h) else None)
+                bits.append(bitmap(h) if len(h) else None)
                 waiting.append(h)
                 held += len(h)
                 if held > 1 << 20:
@@ -69,15 +75,15 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(_slots(np.concatenate(waiting)), minlength=COUNTERS)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "fp", "slot", "counts"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "fp", "bits", "slot", "counts"]
             )
             last = batch.column(0).type
             del waiting
         if counts.any():
             m = COUNTERS // PIECE
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, id_type or last), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(m, PIECE)], pa.binary())],
-                ["doc_id", "n", "fp", "slot", "counts"],
+                [pa.nulls(m, id_type or last), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(m, PIECE)], pa.binary())],
+                ["doc_id", "n", "fp", "bits", "slot", "counts"],
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +93,12 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 total[slot] = total.get(slot, 0) + np.frombuffer(data.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "counts"])
 
-    rows, _ = written(docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, fp long, slot int, counts binary"), "shingles")
+    rows, _ = written(docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, fp long, bits binary, slot int, counts binary"), "shingles")
     pieces = rows.where("slot is not null").select("slot", "counts").repartition(COUNTERS // PIECE, "slot").mapInArrow(add, "slot int, counts binary").collect()
     counts = np.zeros((COUNTERS // PIECE, PIECE), np.int64)
     for piece in pieces:  # a table of fixed size
         counts[piece["slot"]] = np.frombuffer(piece["counts"], np.int64)
-    return rows.where("slot is null").select("doc_id", "n", "fp"), counts.reshape(-1)
+    return rows.where("slot is null").select("doc_id", "n", "fp", "bits"), counts.reshape(-1)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -136,43 +142,60 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Rows (key, n, fp, center) of tiles with two classes or more; center is the first class of the tile and size band.
+    """What tiles of two classes or more give: rows (pair, key, n, fp, center).
 
-    Streams over rows sorted by key and size and holds one row of the stream.
+    A small tile gives its pairs of suitable sizes, as (true, other, n, fp, null). A larger
+    one gives its classes, with the first one of the tile and size band as center. Streams
+    over rows sorted by key and size, and holds the rows of a small tile at most.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # key, n, fp, center, whether another row of its tile came before
+        current, held, large, center, out = None, [], False, (0, 0), []
 
-        def out(key, n, fp, center):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, n, fp, center)], ["key", "n", "fp", "center"])
+        def close() -> None:
+            for k, (n, fp) in enumerate(held):
+                out.extend((True, other, n, fp, None) for m, other in held[:k] if DENOMINATOR * m >= NUMERATOR * n)
+
+        def tell(n: int, fp: int) -> None:
+            nonlocal center
+            if DENOMINATOR * center[0] < NUMERATOR * n:
+                center = (n, fp)
+            out.append((False, current, n, fp, center[1]))
+
+        def send() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["pair", "key", "n", "fp", "center"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, n, fp = (batch.column(k).to_numpy() for k in range(3))
-            if held:
-                key, n, fp = np.append(held[0], key), np.append(held[1], n), np.append(held[2], fp)
-            fresh = np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
-            key, n, fp = key[fresh], n[fresh], fp[fresh]
-            band = np.floor(np.log(n) / np.log(DENOMINATOR / NUMERATOR)).astype(np.int64)
-            same = np.append(False, key[1:] == key[:-1])
-            begins = ~same | np.append(True, band[1:] != band[:-1])
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-            center = fp[first]
-            if held:
-                center[first == 0] = held[3]
-            several = same | np.append(same[1:], False)
-            if held and held[4]:
-                several[0] = True
-            held = (key[-1], n[-1], fp[-1], center[-1], bool(several[-1]))
-            keep = several.copy()
-            keep[-1] = False
-            yield out(key[keep], n[keep], fp[keep], center[keep])
-        if held and held[4]:
-            yield out(*[[x] for x in held[:4]])
-
-    return rows.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(meet, "key long, n long, fp long, center long")
+            key, size, owner = (batch.column(k).to_numpy() for k in range(3))
+            same = key[1:] == key[:-1]
+            worth = np.append(same, True) | np.append(True, same)  # both ends may go on in other batches
+            for at, n, fp in zip(key[worth].tolist(), size[worth].tolist(), owner[worth].tolist(), strict=True):
+                if at != current:
+                    if not large:
+                        close()
+                    current, held, large, center = at, [], False, (0, 0)
+                if held and held[-1] == (n, fp):
+                    continue
+                if large:
+                    held = [(n, fp)]
+                    tell(n, fp)
+                    continue
+                held.append((n, fp))
+                if len(held) > SMALL:
+                    large = True
+                    for x in held:
+                        tell(*x)
+                    held = held[-1:]
+            yield send()
+        if not large:
+            close()
+        yield send()
+
+    return rows.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(meet, "pair boolean, key long, n long, fp long, center long")
 
 
 def bits_of(n: int) -> int:
@@ -198,27 +221,57 @@ def overlap_bound(a: int, a_bits: int, a_n: int, b: int, b_bits: int, b_n: int)
     return min(a_n - only_a, b_n - only_b)
 
 
-def sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows (fp, n, bits, hashes) of the chosen doc_ids, as a written table."""
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow a link."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, x, n, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                most = overlap_bound(int.from_bytes(x, "little"), 8 * len(x), m, int.from_bytes(y, "little"), 8 * len(y), n)
+                keep.append(linked_sizes(most, m, n))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    known = nodes.select("fp", "n", "bits")
+    rows = pairs.join(known.withColumnsRenamed({"fp": "a", "n": "m", "bits": "x"}), "a").join(known.withColumnsRenamed({"fp": "b", "bits": "y"}), "b")
+    return rows.select("a", "b", "m", "x", "n", "y").mapInArrow(bound, "a long, b long")
+
+
+def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (fp, hashes) of the wanted (doc_id, fp), as a written table. Most other texts are passed over by a filter of fixed size."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    pieces = 16
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                found.setdefault(x // (FILTER // pieces), np.zeros(FILTER // pieces, bool))[x % (FILTER // pieces)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], ["piece", "flags"])
+
+    slots = wanted.select(slot.alias("slot")).distinct().withColumn("piece", F.floor(F.col("slot") / (FILTER // pieces)).cast("int"))
+    flags = np.zeros((pieces, FILTER // pieces), bool)
+    for row in slots.repartition(pieces, "piece").select("slot").mapInArrow(mark, "piece int, flags binary").collect():  # half a megabyte in all
+        flags[row["piece"]] |= np.unpackbits(np.frombuffer(row["flags"], np.uint8)).astype(bool)
+    shared_flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flags.reshape(-1)).tobytes())
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(shared_flags.value, np.uint8)).astype(bool)
         for batch in batches:
-            found = [h for text in batch.column(0) if len(h := shingle_set(text.as_py()))]
+            batch = batch.filter(pa.array(known[batch.column(1).to_numpy()]))
+            found = [shingle_set(text.as_py()) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([fingerprint(h) for h in found], pa.int64()),
-                    pa.array([len(h) for h in found], pa.int64()),
-                    pa.array([bitmap(h) for h in found], pa.binary()),
-                    pa.array([h.tobytes() for h in found], pa.binary()),
-                ],
-                ["fp", "n", "bits", "hashes"],
+                [batch.column(0), pa.array([fingerprint(h) if len(h) else None for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["doc_id", "fp", "hashes"]
             )
 
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").select("text")
-    return written(texts.mapInArrow(build, "fp long, n long, bits binary, hashes binary"), "sets")[0].dropDuplicates(["fp"])
+    rows = docs.where("doc_id is not null").select("doc_id", slot.alias("slot"), "text").mapInArrow(build, f"doc_id {kind}, fp long, hashes binary")
+    rows = rows.join(wanted.select("doc_id", "fp").distinct(), ["doc_id", "fp"], "left_semi").select("fp", "hashes")
+    return written(rows, "sets")[0].dropDuplicates(["fp"])
 
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets link, by exact intersection."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +284,8 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    h = arrays.select("fp", "hashes")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    h = sets(docs, ends.join(nodes, "fp").select(F.col("rep").alias("doc_id"), "fp"))
     rows = pairs.join(h.withColumnsRenamed({"fp": "a", "hashes": "x"}), "a").join(h.withColumnsRenamed({"fp": "b", "hashes": "y"}), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
 
@@ -271,29 +325,29 @@ def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
     signed, counts = signatures(docs)
-    nodes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     nodes, _ = written(nodes, "classes")
-    tiles, _ = written(shared(prefixes(docs.where("doc_id is not null"), counts)), "tiles")
-    wanted = tiles.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id"))
-    arrays = sets(docs, wanted)
-    bits = arrays.select("fp", "bits")
+    met, _ = written(shared(prefixes(docs.where("doc_id is not null"), counts)), "tiles")
+    tiles = met.where("not pair").select("key", "n", "fp", "center")
 
     stars = tiles.where("center <> fp").groupBy("center", "fp").agg(F.count("*").alias("c"))
-    first = stars.groupBy("fp").agg(F.max_by("center", F.struct("c", "center")).alias("center"))
-    links, _ = written(verified(first.select(F.col("center").alias("a"), F.col("fp").alias("b")), arrays), "links")
+    stars = stars.groupBy("fp").agg(F.max_by("center", F.struct("c", "center")).alias("center"))
+    pairs = met.where("pair").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct().union(stars.select("center", "fp")).distinct()
+    pairs, _ = written(possible(pairs, nodes), "pairs")
+    links, _ = written(verified(pairs, docs, nodes), "links")
     merged = components(links)
 
     comps = tiles.select("key", "n", "fp").join(merged.withColumnRenamed("node", "fp"), "fp", "left")
     comps = comps.withColumn("comp", F.coalesce("component", "fp")).drop("component")
     mixed = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    pairs = crossing(comps.join(mixed, "key").join(bits, "fp"))
-    more = verified(pairs, arrays)
+    late, _ = written(crossing(comps.join(mixed, "key").join(nodes.select("fp", "bits"), "fp")), "pairs")
+    more = verified(late, docs, nodes)
 
     whole = components(links.union(more)).withColumnRenamed("node", "fp")
     by_class = nodes.join(whole, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(least, "component").select("fp", "component_id")
-    out = signed.join(by_class, "fp", "left")
+    out = signed.drop("bits").join(by_class, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
