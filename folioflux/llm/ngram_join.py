@@ -7,11 +7,11 @@ pair's overlap from above (bits that differ are in one set only), and pairs that
 decided by exact intersection of the sorted sets. Rarity comes from a table of shingle
 counts over all documents, of fixed size.
 
-Small tiles give all their pairs. In larger ones a first round takes one promising pair for
-each class and merges what is found to link, so that a large group of near copies isn't
-expanded into all its pairs; the second round takes every pair of classes that still lie in
-different components. All links between components are thus found, whatever the order.
-Only texts of pairs that pass the bitmaps are read again for their exact sets.
+Pairs whose bitmaps allow a link join classes into clusters; a large tile gives a
+spanning forest of such pairs, not all of them. Only texts in clusters are read again for
+their exact sets, which meet within their cluster, block by block; each block gives a
+spanning forest of its links. So no group is expanded into all its pairs, and no task
+holds more than two blocks.
 
 Sets are held as 64-bit hashes; two texts are taken for one class, or two shingles for one,
 wrongly with probability about n * n / 2**65.
@@ -39,6 +39,8 @@ COUNTERS, PIECE = 1 << 16, 1 << 12
 SEEN = 1 << 20
 #: Classes of a tile whose pairs are listed at once.
 SMALL = 8
+#: Classes of a block of a cluster.
+BLOCK = 256
 #: Bits of the filter that spares most texts their second reading; only a saving.
 FILTER = 1 << 22
 
@@ -142,30 +144,23 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """What tiles of two classes or more give: rows (pair, key, n, fp, center).
+    """What tiles of two classes or more give: rows (pair, key, n, fp).
 
-    A small tile gives its pairs of suitable sizes, as (true, other, n, fp, null). A larger
-    one gives its classes, with the first one of the tile and size band as center. Streams
-    over rows sorted by key and size, and holds the rows of a small tile at most.
+    A small tile gives its pairs of suitable sizes, as (true, other, n, fp), a larger one its
+    classes. Streams over rows sorted by key and size, and holds the rows of a small tile at most.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, large, center, out = None, [], False, (0, 0), []
+        current, held, large, out = None, [], False, []
 
         def close() -> None:
             for k, (n, fp) in enumerate(held):
-                out.extend((True, other, n, fp, None) for m, other in held[:k] if DENOMINATOR * m >= NUMERATOR * n)
-
-        def tell(n: int, fp: int) -> None:
-            nonlocal center
-            if DENOMINATOR * center[0] < NUMERATOR * n:
-                center = (n, fp)
-            out.append((False, current, n, fp, center[1]))
+                out.extend((True, other, n, fp) for m, other in held[:k] if DENOMINATOR * m >= NUMERATOR * n)
 
         def send() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 5
+            cols = list(zip(*out, strict=True)) or [[]] * 4
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["pair", "key", "n", "fp", "center"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["pair", "key", "n", "fp"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -177,25 +172,24 @@ def shared(rows: DataFrame) -> DataFrame:
                 if at != current:
                     if not large:
                         close()
-                    current, held, large, center = at, [], False, (0, 0)
+                    current, held, large = at, [], False
                 if held and held[-1] == (n, fp):
                     continue
                 if large:
                     held = [(n, fp)]
-                    tell(n, fp)
+                    out.append((False, current, n, fp))
                     continue
                 held.append((n, fp))
                 if len(held) > SMALL:
                     large = True
-                    for x in held:
-                        tell(*x)
+                    out.extend((False, current, *x) for x in held)
                     held = held[-1:]
             yield send()
         if not large:
             close()
         yield send()
 
-    return rows.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(meet, "pair boolean, key long, n long, fp long, center long")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(meet, "pair boolean, key long, n long, fp long")
 
 
 def bits_of(n: int) -> int:
@@ -271,54 +265,87 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(rows, "sets")[0].dropDuplicates(["fp"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link, by exact intersection."""
-
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = batch.columns
-            keep = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                keep.append(linked_sizes(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+def forest(tiles: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join the classes of each tile (key, n, fp, bits) wherever sizes and bitmaps allow a link, as a spanning forest.
 
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    h = sets(docs, ends.join(nodes, "fp").select(F.col("rep").alias("doc_id"), "fp"))
-    rows = pairs.join(h.withColumnsRenamed({"fp": "a", "hashes": "x"}), "a").join(h.withColumnsRenamed({"fp": "b", "hashes": "y"}), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
-
-
-def crossing(tiles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a tile's classes in different components that their sizes and bitmaps allow.
-
-    tiles: (key, n, fp, comp, bits). A tile streams in order of size, and only classes
-    within the size band of the one at hand are held.
+    A tile streams in order of size, and only classes within the size band of the one at hand are held.
     """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, window, told = None, [], set()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, groups = None, []
         for batch in batches:
             left, right = [], []
-            for key, n, fp, comp, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, n, fp, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != current:
-                    current, window = key, []
-                here = (n, fp, comp, int.from_bytes(bits, "little"), 8 * len(bits))
-                window = [w for w in window if DENOMINATOR * w[0] >= NUMERATOR * n] if window and DENOMINATOR * window[0][0] < NUMERATOR * n else window
-                for m, other, c, map_, size in window:
-                    if c != comp and linked_sizes(overlap_bound(map_, size, m, here[3], here[4], n), m, n):
-                        pair = (min(fp, other), max(fp, other))
-                        if pair not in told:
-                            if len(told) > SEEN:
-                                told.clear()
-                            told.add(pair)
-                            left.append(pair[0])
-                            right.append(pair[1])
-                window.append(here)
+                    current, groups = key, []
+                here, width = int.from_bytes(bits, "little"), 8 * len(bits)
+                merged, others = [], []
+                for group in groups:
+                    if DENOMINATOR * group[0][0] < NUMERATOR * n:
+                        group = [g for g in group if DENOMINATOR * g[0] >= NUMERATOR * n]
+                    found = next((g for g in reversed(group) if linked_sizes(overlap_bound(g[2], g[3], g[0], here, width, n), g[0], n)), None)
+                    if found:
+                        left.append(found[1])
+                        right.append(fp)
+                        merged += group
+                    elif group:
+                        others.append(group)
+                merged.sort(key=lambda g: g[0])
+                groups = [*others, [*merged, (n, fp, here, width)]]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return tiles.repartition("key").sortWithinPartitions("key", "n", "fp").select("key", "n", "fp", "comp", "bits").mapInArrow(compare, "a long, b long").distinct()
+    return tiles.repartition("key").sortWithinPartitions("key", "n", "fp").select("key", "n", "fp", "bits").mapInArrow(join, "a long, b long").distinct()
+
+
+def linked(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) within each cluster (cluster, fp, hashes) by exact intersection, as a spanning forest of every two blocks."""
+
+    def judge(i: int, j: int, rows: list) -> Iterator[tuple[int, int]]:
+        rows = sorted(((side, fp, np.frombuffer(h, np.uint64)) for side, fp, h in rows), key=lambda r: (len(r[2]), r[1]))
+        parent = list(range(len(rows)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for k, (side, fp, h) in enumerate(rows):
+            for m in range(k - 1, -1, -1):
+                other, fp2, h2 = rows[m]
+                if DENOMINATOR * len(h2) < NUMERATOR * len(h):
+                    break
+                if (i != j and side == other) or (a := root(k)) == (b := root(m)):
+                    continue
+                if linked_sizes(len(np.intersect1d(h, h2, assume_unique=True)), len(h), len(h2)):
+                    parent[b] = a
+                    yield fp2, fp
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = None, []
+
+        def send(out: list) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+        for batch in batches:
+            out = []
+            for cluster, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, i, j) != current:
+                    if rows:
+                        out += judge(current[1], current[2], rows)
+                    current, rows = (cluster, i, j), []
+                rows.append(row)
+            yield send(out)
+        if rows:
+            yield send(list(judge(current[1], current[2], rows)))
+
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = members.join(blocks, "cluster").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "fp", "hashes")
+    keys = ["cluster", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -328,22 +355,11 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     nodes, _ = written(nodes, "classes")
     met, _ = written(shared(prefixes(docs.where("doc_id is not null"), counts)), "tiles")
-    tiles = met.where("not pair").select("key", "n", "fp", "center")
-
-    stars = tiles.where("center <> fp").groupBy("center", "fp").agg(F.count("*").alias("c"))
-    stars = stars.groupBy("fp").agg(F.max_by("center", F.struct("c", "center")).alias("center"))
-    pairs = met.where("pair").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct().union(stars.select("center", "fp")).distinct()
-    pairs, _ = written(possible(pairs, nodes), "pairs")
-    links, _ = written(verified(pairs, docs, nodes), "links")
-    merged = components(links)
-
-    comps = tiles.select("key", "n", "fp").join(merged.withColumnRenamed("node", "fp"), "fp", "left")
-    comps = comps.withColumn("comp", F.coalesce("component", "fp")).drop("component")
-    mixed = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    late, _ = written(crossing(comps.join(mixed, "key").join(nodes.select("fp", "bits"), "fp")), "pairs")
-    more = verified(late, docs, nodes)
-
-    whole = components(links.union(more)).withColumnRenamed("node", "fp")
+    tiles = met.where("not pair").select("key", "fp", "n").join(nodes.select("fp", "bits"), "fp")
+    pairs = met.where("pair").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct()
+    clusters, _ = written(components(possible(pairs, nodes).union(forest(tiles))).withColumnsRenamed({"node": "fp", "component": "cluster"}), "clusters")
+    exact = sets(docs, clusters.join(nodes, "fp").select(F.col("rep").alias("doc_id"), "fp"))
+    whole = components(linked(clusters.join(exact, "fp"))).withColumnRenamed("node", "fp")
     by_class = nodes.join(whole, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(least, "component").select("fp", "component_id")
