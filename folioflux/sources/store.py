@@ -160,7 +160,9 @@ class Store:
         chunks = chunks.select(*columns)
         group = F.try_variant_get("metadata", f'$["{GROUP_KEY}"]', "string").alias("grp")
         docs = kept[0].select("doc_id", group).unionByName(fresh.select("doc_id", group)).where("grp is not null")
-        every = kept[1].select("chunk_id", "doc_id").join(kept[2], "chunk_id").unionByName(chunks.select("chunk_id", "doc_id").join(vectors, "chunk_id")).join(docs, "doc_id")
+        old = kept[1].select("chunk_id", "doc_id", F.lit(0).alias("fresh")).join(kept[2], "chunk_id")
+        every = old.unionByName(chunks.select("chunk_id", "doc_id", F.lit(1).alias("fresh")).join(vectors, "chunk_id")).join(docs, "doc_id")
+        every = every.withColumn("doc_id", F.struct("fresh", "doc_id"))  # what is stored came before
         found = near_duplicates(every, threshold).select("chunk_id", "winner_id")
         tag = F.to_json(F.create_map(F.lit(DUPLICATE_KEY), F.col("winner_id")))
         meta = F.when(F.col("winner_id").isNotNull(), F.parse_json(tag)).otherwise(F.col("metadata"))
