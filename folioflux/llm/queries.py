@@ -122,3 +122,35 @@ QUERIES |= {"op4_ngram_join": op4_ngram_join}
 QUERIES |= {"op5_licenses": op5_licenses, "op10_secrets": op10_secrets}
 QUERIES |= {"op2_toxicity": op2_toxicity, "op7_urls": op7_urls}
 QUERIES |= {"op6_mixture": op6_mixture, "op8_language": op8_language}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LICENSE_WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in licenses.TEMPLATES)
+ORACLE["op5_licenses"] = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_LICENSE_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+p AS (SELECT rid, doc_id, len(words) AS n_words, list_filter(range(0, len(words) - 1), lambda i: words[i + 1] = 'mit' AND words[i + 2] = 'license') AS mit,
+  list_filter(range(0, len(words) - 1), lambda i: words[i + 1] = 'apache' AND words[i + 2] = 'license') AS apache,
+  list_filter(range(0, len(words) - 2), lambda i: words[i + 1] = 'general' AND words[i + 2] = 'public' AND words[i + 3] = 'license') AS gpl FROM w),
+t(label, tokens) AS (VALUES {_TEMPLATES}),
+b AS (SELECT rid, {_LICENSE_WORDS.format("line")} AS tokens FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w)),
+m AS (SELECT rid, list(DISTINCT label) AS found, max(len(list_intersect(t.tokens, list_distinct(b.tokens)))::DOUBLE / len(t.tokens)) AS most FROM b, t
+  WHERE len(list_intersect(t.tokens, list_distinct(b.tokens))) >= ceil({licenses.CONTAINMENT} * len(t.tokens) - 1e-9) GROUP BY rid),
+l AS (SELECT p.*, list_concat(list_concat(mit, apache), gpl) AS starts, list_concat(list_concat(CASE WHEN len(mit) > 0 THEN ['mit'] ELSE []::VARCHAR[] END, CASE WHEN len(apache) > 0 THEN ['apache'] ELSE []::VARCHAR[] END), CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE []::VARCHAR[] END) AS named,
+  coalesce(found, []::VARCHAR[]) AS found, coalesce(most, 0) AS most FROM p LEFT JOIN m USING (rid))
+SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word, array_to_string(list_sort(named), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(named, found))), ',') AS labels, greatest(most, CASE WHEN len(starts) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM l"""
+
+ORACLE["op6_mixture"] = r"""
+WITH s AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+a AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 3.0::DOUBLE * source_size AS cap FROM a),
+v AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(rank - 1) % 3 + 1] AS weight FROM w),
+f AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS step,
+  (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM v WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, source_size, rank, coalesce(least(cap, (SELECT arg_min(level, step) FROM f WHERE level <= ratio) * weight), cap) AS target FROM f),
+d AS (SELECT s.doc_id, s.size, source_size, rank, target, floor(target + 0.5)::BIGINT AS goal,
+  coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, CASE WHEN rank % 2 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS a, CASE WHEN goal > 0 THEN least(1.0::DOUBLE, begun::DOUBLE / goal) ELSE 1.0 END AS share,
+  (greatest(0, least(size, goal - begun)) + greatest(0, least(size, goal - begun - source_size)) + greatest(0, least(size, goal - begun - 2 * source_size)))::BIGINT AS taken FROM d)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(((1 + a) - sqrt(greatest(0, (1 + a) * (1 + a) - 4 * a * share))) / (2 * a), 9) END AS position FROM e"""
