@@ -73,6 +73,14 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return rows.join(cache.where(F.col("model_id") == model).select("text_hash"), "text_hash", "left_anti")
 
 
+def cached_vectors(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Vectors for texts (id, text) as (id, vector), and the rows (model_id, text_hash, vector) that the cache lacked. Each distinct text is embedded once."""
+    fresh = cache_misses(texts, cache, model).select(F.lit(model).alias("model_id"), "text_hash", embed(F.col("text")).alias("vector"))
+    known = cache.where(F.col("model_id") == model).select("model_id", "text_hash", "vector").unionByName(fresh)
+    keyed = texts.select("id", T.fingerprint(F.col("text")).alias("text_hash"))
+    return keyed.join(known, "text_hash").select("id", "vector"), fresh
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """(chunk_id, winner_id, score): for each of vectors (chunk_id, doc_id, grp, vector) the most similar chunk of an earlier document of its group.
 

@@ -259,3 +259,45 @@ def test_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     ingest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "c")).awaitTermination()
     assert store.tables()["documents"].count() == 2
+
+
+def test_cached_vectors(spark):
+    from folioflux.sources.store import cached_vectors
+
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, text string")
+    cache = texts.where("id = 2").select(F.lit("m").alias("model_id"), T.fingerprint(F.col("text")).alias("text_hash"), F.array(F.lit(9.0)).alias("vector"))
+    got, fresh = cached_vectors(texts, cache, "m", lambda c: F.array(F.length(c).cast("double")))
+    assert {r["id"]: r["vector"] for r in got.collect()} == {1: [1.0], 2: [9.0], 3: [1.0]} and fresh.count() == 1
+
+
+def test_observability():
+    import logging
+
+    from folioflux.observability import JsonFormatter, Timer, emit
+
+    now = iter([0.0, 1.0, 2.0, 2.5])
+    timer = Timer(lambda: next(now))
+    for _ in range(2):
+        with timer.part("x"):
+            pass
+    assert timer.parts == {"x": 1500.0}
+    seen = []
+    emit(seen.append, "done", n=3)
+    emit(lambda e: 1 / 0, "done")
+    assert seen[0].values == {"n": 3}
+    assert "hunter2" not in JsonFormatter().format(logging.LogRecord("a", 20, "f", 1, "password=hunter2", (), None))
+
+
+def test_bpe_counter():
+    import os
+
+    from folioflux.functions.tokens import bpe_counter
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary")
+    count = bpe_counter(path)
+    assert count("") == 0 and 0 < count("hello world") < 5
+    text = "some words to pack " * 30
+    spans = chunking.packed(text, chunking.atoms(text, 0, len(text), 12, count), 12, 4, count)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(count(text[a:b]) <= 12 for a, b in spans)
