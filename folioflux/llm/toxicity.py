@@ -79,7 +79,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     raw = text.split()
     size = max(1, len(text))
     mixed = [w for w in words if not w.isalpha() and _MIXED.match(w)]
-    spaced = _SPACED.findall(text) if curated == 0 or len(text) < 200_000 else []
+    spaced = _SPACED.findall(text)
     revealed = sum((r := w.translate(LEET).replace("*", "")) in INSULTS or r in lexicon for w in mixed)
     for s in spaced:
         r = re.sub(r"[ .\-_*]", "", s).lower()
