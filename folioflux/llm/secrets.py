@@ -1,8 +1,8 @@
 """Secret scans: strong credentials by pattern, weak ones by linking their parts.
 
-Access identifiers, secrets and endpoints are intervals of a text; a weak candidate (a long
-mixed token) is reported only when an identifier or an endpoint overlaps its scope, the
-candidate widened by ``radius`` code points. Scopes meet parts in an interval join
+Access identifiers, secrets and endpoints are intervals of a text; a weak candidate (a mixed
+token of 20 characters or more, however long, with what dots join to it) is reported only
+when an identifier or an endpoint overlaps its scope, the candidate widened by ``radius`` code points. Scopes meet parts in an interval join
 on text and bin. DataFrame operations only.
 
 Defined results: a null text counts as empty and has no span; the hash of no span is
@@ -24,7 +24,9 @@ HEX = r"[0-9a-f]{24,}"
 #: Parts that weak candidates are linked with.
 IDENTIFIER = r"""(?i:client_?id|access_?key_?id|account_?id|user_?name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]+"""
 ENDPOINT = r"""https?://[^\s"'<>]+|(?i:endpoint|hostname)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]+"""
-WEAK = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_.-])"
+#: Dot-joined runs with a segment of 20 characters or more that has letters and digits. Possessive: linear, and no recursion in Java.
+_SEGMENT = r"(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z0-9+/_=-]{20})"
+WEAK = rf"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?:(?!{_SEGMENT})[A-Za-z0-9+/_=-]++\.)*+{_SEGMENT}[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+"
 KINDS = ("assign", "access", "hex", "weak")
 MIN_VALUE = 6
 RADIUS = 300
