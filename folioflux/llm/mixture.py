@@ -75,7 +75,11 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slope: flo
     Running sums are split: rows are summed by (source, bucket of their md5), buckets
     are summed in order, and only then rows within a bucket, so no source meets in one task.
     """
-    rows = docs.select("doc_id", "source", words().alias("size"))
+    return _planned(docs.select("doc_id", "source", words().alias("size")), weights, most, slope)
+
+
+def _planned(rows: DataFrame, weights: tuple, most: int, slope: float, carried: tuple = (), ties: tuple = ()) -> DataFrame:
+    """plan() of rows (doc_id, source, size); columns ``carried`` stay on their rows, and columns ``ties`` order rows of one doc_id and size."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("h", h)
     n = F.col("n_buckets")
@@ -92,7 +96,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slope: flo
     )
     parts = parts.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     parts = parts.select(F.col("source").alias("s3"), F.col("b").alias("b3"), "base", "source_size", "target", "goal", "rank")
-    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     found = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     found = found.join(parts, F.col("source").eqNullSafe(F.col("s3")) & (F.col("b") == F.col("b3"))).drop("s3", "b3")
     found = found.withColumn("at", F.col("base") + F.col("inner"))
@@ -107,7 +111,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slope: flo
     passes = F.filter(F.array(*[one(p) for p in range(int(most))]), lambda x: x["words"] > 0)
     found = found.withColumn("passes", passes)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes")
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", *carried)
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slope: float = SLOPE) -> DataFrame:
@@ -115,9 +119,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slope: floa
 
     Columns ``position`` and ``words`` that docs has already are replaced.
     """
-    # A doc_id may stand on several rows: those of equal size share their passes.
-    order = plan(docs, weights, most, slope).select("doc_id", "source", "size", F.explode("passes").alias("p"))
-    order = order.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("p.position").alias("__p"), F.col("p.words").alias("__w")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    found = docs.drop("position", "words").withColumn("__size", words()).join(order, on)
-    return found.drop("__d", "__s", "__z", "__size").withColumnsRenamed({"__p": "position", "__w": "words"}).orderBy("position", "doc_id")
+    rows = docs.drop("position", "words")
+    names = rows.columns
+    rows = rows.select("doc_id", "source", words().alias("size"), F.md5("text").alias("__text"), F.struct(*names).alias("__row"))
+    order = _planned(rows, weights, most, slope, ("__row",), ("__text",)).select("__row", F.explode("passes").alias("__pass"))
+    found = order.select("__row.*", F.col("__pass.position").alias("position"), F.col("__pass.words").alias("words"))
+    return found.orderBy("position", "doc_id")
