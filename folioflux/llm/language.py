@@ -5,6 +5,11 @@ encoded with every dictionary, and the language whose dictionary gives the fewes
 bytes wins. A document whose two best languages lie within a relative margin is
 rejected.
 
+Languages of NEAR of the largest dictionary or more are compared at their common
+size. Any other keeps its whole dictionary and is compared with the best one so far at
+its own size, so no scarce language shortens the others. Below MINIMUM bytes equal sizes
+tell noise only: such a language has to beat the best one's whole dictionary, and rejects nothing.
+
 Defined results: a null text, or one without any letter, is ``und`` with score 0 and
 rejected; without any learned language every text is. Ties go to the first language
 in code point order. Rows repeat as they are, and other columns play no part.
@@ -29,6 +34,8 @@ LEVEL = 5
 MARGIN = 0.002
 #: Margin at which the score reaches 1 - 1/e.
 SCALE = 0.03
+#: Share of the largest dictionary from which on languages are cut to one size; bytes below which a language is scarce.
+NEAR, MINIMUM = 0.9, 16384
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -51,38 +58,63 @@ def fit(labelled: DataFrame, samples: int = SAMPLES, snippet: int = SNIPPET, dic
     found: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda x: (x["lang"], x["r"])):
         found.setdefault(row["lang"], []).append(row["text"].lower().encode())
-    least = min((sum(map(len, x)) for x in found.values()), default=0)
-    size = min(dictionary, max(least, 2048))  # equal sizes, else the largest dictionary is favoured
-    return {k: b"\n".join(x)[:size] for k, x in found.items()}
+    return {k: b"\n".join(x)[:dictionary] for k, x in found.items()}
+
+
+class Judge:
+    """The encoders of a model, for one task."""
 
+    def __init__(self, model: dict[str, bytes], margin: float):
+        self.model, self.margin = model, margin
+        largest = max(map(len, model.values()), default=0)
+        self.near = sorted(k for k in model if len(model[k]) >= NEAR * largest)
+        self.common = min((len(model[k]) for k in self.near), default=0)
+        self.scarce = sorted((k for k in model if k not in self.near), key=lambda k: (-len(model[k]), k))
+        self.encoders: dict[tuple, zstandard.ZstdCompressor] = {}
 
-def _sizes(models: list, data: bytes) -> list[int]:
-    return [sum(len(m.compress(data[i : i + SEGMENT])) for i in range(0, len(data), SEGMENT)) for m in models]
+    def size(self, name: str, length: int, data: bytes) -> int:
+        m = self.encoders.get((name, length))
+        if m is None:
+            held = zstandard.ZstdCompressionDict(self.model[name][:length], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=LEVEL)
+            m = self.encoders[name, length] = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False)
+        return sum(len(m.compress(data[i : i + SEGMENT])) for i in range(0, len(data), SEGMENT))
+
+    def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
+        """lang_pred, score, margin, accepted."""
+        if not self.model or text is None or not _LETTER.search(text):
+            return "und", 0.0, 0.0, False
+        data = text.lower().encode()
+        sizes = {k: self.size(k, self.common, data) for k in self.near}
+        name, gap = self.ranked(sizes, lambda k, n: self.size(k, n, data))
+        accepted = gap >= self.margin
+        return name, 1.0 - 2.718281828459045 ** (-gap / SCALE), gap, accepted
+
+    def ranked(self, sizes: dict[str, float], size) -> tuple[str, float]:
+        """The best language and its relative gap to the next one."""
+        order = sorted(sizes, key=lambda k: (sizes[k], k))
+        best = order[0]
+        gap = (sizes[order[1]] - sizes[best]) / sizes[best] if len(order) > 1 else 1.0
+        whole = sizes[best]
+        for k in self.scarce:
+            length = len(self.model[k])
+            known, mine = length >= MINIMUM, size(k, length)
+            other = size(best, length) if known else whole
+            if mine < other:
+                best, gap, whole = k, (other - mine) / mine, mine
+            elif known:
+                gap = min(gap, (mine - other) / other)
+        return best, gap
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """Rows (doc_id, lang_pred, score, margin, accepted), one for each row of docs (doc_id, text)."""
-    names = sorted(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = []
-        for k in names:
-            held = zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            models.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False))
+        judge = Judge(model, margin)
         for batch in batches:
-            out = []
-            for value in batch.column(1):
-                text = value.as_py()
-                if not names or text is None or not _LETTER.search(text):
-                    out.append(("und", 0.0, 0.0, False))
-                    continue
-                sizes = _sizes(models, text.lower().encode())
-                order = sorted(range(len(names)), key=sizes.__getitem__)
-                best = sizes[order[0]]
-                gap = (sizes[order[1]] - best) / best if len(names) > 1 else 1.0
-                out.append((names[order[0]], 1.0 - 2.718281828459045 ** (-gap / SCALE), gap, gap >= margin))
+            out = [judge(value.as_py()) for value in batch.column(1)]
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())],
@@ -97,22 +129,10 @@ def filtered(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -
     columns = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(model)
-        models = []
-        for k in names:
-            held = zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            models.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False))
+        judge = Judge(model, margin)
         at = columns.index("text")
         for batch in batches:
-            mask = []
-            for value in batch.column(at):
-                text = value.as_py()
-                if not names or text is None or not _LETTER.search(text):
-                    mask.append(False)
-                    continue
-                sizes = sorted(_sizes(models, text.lower().encode()))
-                mask.append(len(names) == 1 or (sizes[1] - sizes[0]) / sizes[0] >= margin)
+            mask = [judge(value.as_py())[3] for value in batch.column(at)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -4,8 +4,10 @@ import collections
 import random
 import time
 
+import pytest
+
 import corpus_pipeline
-from folioflux.llm import mixture, secrets, toxicity
+from folioflux.llm import language, mixture, secrets, toxicity
 
 
 def test_spaced_letters_in_a_long_text():
@@ -78,3 +80,24 @@ def test_pipeline(spark, tmp_path):
         left -= sum(3.0 * size[s] for s in full)
         open_ = {s: w for s, w in open_.items() if full and s not in full}
     assert all(abs(given[s] - goal[s]) <= 0.5 + 1e-6 for s in goal)
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text is not null")
+    return docs, language.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+
+
+def test_scarce_language_leaves_the_others_alone(sample):
+    docs, model = sample
+    rows = docs.limit(400).collect()
+    want = [language.Judge(model, language.MARGIN)(r["text"]) for r in rows]
+    for extra in (b"", b"This.", model["en"][5000:7048]):
+        got = [language.Judge(model | {"xx": extra}, language.MARGIN)(r["text"]) for r in rows]
+        assert sum(a[0] == b[0] and a[3] == b[3] for a, b in zip(got, want, strict=True)) >= 0.98 * len(rows)
+
+
+def test_one_row_language_keeps_dictionaries(spark, sample):
+    docs, model = sample
+    more = language.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2").union(spark.createDataFrame([(10**6, "Rara.", "xx")], "doc_id long, text string, lang string")))
+    assert more == model | {"xx": b"rara."}
