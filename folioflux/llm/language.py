@@ -5,6 +5,13 @@ encoded with every dictionary, and the language whose dictionary gives the fewes
 bytes wins. A document whose two best languages lie within a relative margin is
 rejected.
 
+Where the fewest bytes are below RESOLVED, one byte is more than the margin, and whole
+bytes decide nothing: there the size is the ideal code length in fractions of bits under
+a byte model of orders 1 to ORDER counted on the same dictionaries, and a document is
+rejected only when its two best languages lie within BETWEEN and coding it in two, the
+place of the change and EVIDENCE further bits included, is shorter than coding it in one.
+A tie without information is accepted.
+
 Languages of NEAR of the largest dictionary or more are compared at their common
 size. Any other keeps its whole dictionary and is compared with the best one so far at
 its own size, so no scarce language shortens the others. Below MINIMUM bytes equal sizes
@@ -20,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -34,6 +42,14 @@ LEVEL = 5
 MARGIN = 0.002
 #: Margin at which the score reaches 1 - 1/e.
 SCALE = 0.03
+#: Fewest bytes from which on a single byte is no more than the margin.
+RESOLVED = 500
+#: Order of the byte model of shorter texts, bits of a hashed context and weight of the order below.
+ORDER, BITS, WEIGHT = 4, 18, 2.0
+#: Bits that a second language must save, beyond what telling the languages and the place costs.
+EVIDENCE = 16.0
+#: Relative difference between the two shortest code lengths of a short text from which on it is in one language.
+BETWEEN = 0.1
 #: Share of the largest dictionary from which on languages are cut to one size; bytes below which a language is scarce.
 NEAR, MINIMUM = 0.9, 16384
 
@@ -61,6 +77,22 @@ def fit(labelled: DataFrame, samples: int = SAMPLES, snippet: int = SNIPPET, dic
     return {k: b"\n".join(x)[:dictionary] for k, x in found.items()}
 
 
+def _grams(data: bytes) -> list[np.ndarray]:
+    """For orders 1 to ORDER, the bucket of the bytes that end at each position of data, ORDER - 1 blanks before it."""
+    b = np.frombuffer(b" " * (ORDER - 1) + data, np.uint8).astype(np.uint64)
+    found, n = [], len(data)
+    for k in range(1, ORDER + 1):
+        value = np.zeros(n, np.uint64)
+        for i in range(ORDER - k, ORDER):
+            value = (value << np.uint64(8)) | b[i : i + n]
+        found.append((value if k < 3 else (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64))
+    return found
+
+
+def _counted(dictionary: bytes) -> list[np.ndarray]:
+    return [np.bincount(g, minlength=1 << (8 * k if k < 3 else BITS)).astype(np.float32) for k, g in enumerate(_grams(dictionary), 1)]
+
+
 class Judge:
     """The encoders of a model, for one task."""
 
@@ -71,6 +103,7 @@ class Judge:
         self.common = min((len(model[k]) for k in self.near), default=0)
         self.scarce = sorted((k for k in model if k not in self.near), key=lambda k: (-len(model[k]), k))
         self.encoders: dict[tuple, zstandard.ZstdCompressor] = {}
+        self.tables: dict[tuple, list[np.ndarray]] = {}
 
     def size(self, name: str, length: int, data: bytes) -> int:
         m = self.encoders.get((name, length))
@@ -80,14 +113,28 @@ class Judge:
             m = self.encoders[name, length] = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False)
         return sum(len(m.compress(data[i : i + SEGMENT])) for i in range(0, len(data), SEGMENT))
 
+    def bits(self, names: tuple, length: int, grams: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+        """Code length of each byte (rows) in each language (columns)."""
+        table = self.tables.get((names, length))
+        if table is None:
+            table = self.tables[names, length] = [np.stack(x, 1) for x in zip(*(_counted(self.model[k][:length]) for k in names), strict=True)]
+        p = (table[0][grams[0]] + 0.5) / (table[0].sum(0) + 128.0)
+        for k in range(1, ORDER):
+            seen = table[k - 1][before[k - 1]]
+            p = (np.minimum(table[k][grams[k]], seen) + WEIGHT * p) / (seen + WEIGHT)
+        return -np.log2(p)
+
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """lang_pred, score, margin, accepted."""
         if not self.model or text is None or not _LETTER.search(text):
             return "und", 0.0, 0.0, False
         data = text.lower().encode()
         sizes = {k: self.size(k, self.common, data) for k in self.near}
-        name, gap = self.ranked(sizes, lambda k, n: self.size(k, n, data))
-        accepted = gap >= self.margin
+        if min(sizes.values()) < RESOLVED:
+            name, gap, accepted = self.short(data)
+        else:
+            name, gap = self.ranked(sizes, lambda k, n: self.size(k, n, data))
+            accepted = gap >= self.margin
         return name, 1.0 - 2.718281828459045 ** (-gap / SCALE), gap, accepted
 
     def ranked(self, sizes: dict[str, float], size) -> tuple[str, float]:
@@ -106,6 +153,22 @@ class Judge:
                 gap = min(gap, (mine - other) / other)
         return best, gap
 
+    def short(self, data: bytes) -> tuple[str, float, bool]:
+        grams = _grams(data)
+        before = _grams(b" " + data[:-1])
+        near = tuple(self.near)
+        cost = self.bits(near, self.common, grams, before)
+        total = cost.sum(0)
+        best, gap = self.ranked(dict(zip(near, total.tolist(), strict=True)), lambda k, n: float(self.bits((k,), n, grams, before).sum()))
+        accepted = True
+        if len(near) > 1 and gap < BETWEEN:
+            at = np.flatnonzero(np.frombuffer(data, np.uint8) <= 32)
+            if len(at):
+                upto = np.cumsum(cost, 0)[at]
+                split = (upto.min(1) + (total - upto).min(1)).min() + np.log2(len(at) * len(near) * (len(near) - 1)) + EVIDENCE
+                accepted = bool(split >= total.min())
+        return best, gap, accepted
+
 
 def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """Rows (doc_id, lang_pred, score, margin, accepted), one for each row of docs (doc_id, text)."""

@@ -101,3 +101,19 @@ def test_one_row_language_keeps_dictionaries(spark, sample):
     docs, model = sample
     more = language.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2").union(spark.createDataFrame([(10**6, "Rara.", "xx")], "doc_id long, text string, lang string")))
     assert more == model | {"xx": b"rara."}
+
+
+def test_short_documents_have_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").where("text is not null")
+    model = language.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    rows = [r for r in docs.where("length(text) < 120").collect() if 1 <= len(r["text"].split()) <= 10 and language._LETTER.search(r["text"])]
+    judge = language.Judge(model, language.MARGIN)
+    got = [judge(r["text"]) for r in rows]
+    assert len(rows) > 150
+    assert sum(g[3] for g in got) >= 0.95 * len(rows)
+    assert sum(g[0] == r["lang"] for g, r in zip(got, rows, strict=True)) >= 0.9 * len(rows)
+    assert judge("日本日本")[3] and not judge("12 34")[3]
+    rng = random.Random(1)
+    pure = {k: [r["text"] for r in docs.where(f"lang = '{k}' and length(text) between 150 and 250").limit(30).collect()] for k in ("en", "de")}
+    mixed = [judge(rng.choice(pure["en"])[:120] + " " + rng.choice(pure["de"])[:120]) for _ in range(40)]
+    assert sum(not m[3] for m in mixed) >= 10
