@@ -2,37 +2,77 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+
+class _Made(threading.local):
+    """Tables of written() that are still there, by thread, so that runs side by side leave each other's alone."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, one below the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one below its warehouse; on a cluster that is an error."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, read back: lineage ends here."""
+    """df as a Parquet table in the shared folder, read back: lineage ends here.
+
+    What nobody has dropped by then goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _located(spark, path)
+    fs.deleteOnExit(at)
+    _made.paths.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a table made by written() that no plan reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables made by written() that no plan reads any more."""
+    for path in paths:
+        fs, at = _located(spark, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+        if path in _made.paths:
+            _made.paths.remove(path)
+
+
+def mark() -> int:
+    """How many tables of written() there are; for dropped_since()."""
+    return len(_made.paths)
+
+
+def dropped_since(spark: SparkSession, at: int, keep: str | None = None) -> None:
+    """Delete the tables made since mark() gave at, but for one: what read them has been written."""
+    dropped(spark, *[p for p in _made.paths[at:] if p != keep])
 
 
 def fold(key: str, folds: int) -> Column:

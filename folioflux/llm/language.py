@@ -30,11 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts for each language, characters of each, bytes of a dictionary: the bounded fitting sample.
-SAMPLES, SNIPPET, DICTIONARY = 64, 2048, 98304
+#: Texts for each language, bytes of a dictionary: the bounded fitting sample.
+SAMPLES, DICTIONARY = 64, 98304
+#: Pieces that stand for a text in a dictionary, at even distances from its beginning to its end, and the characters of each.
+PIECES, PIECE = 8, 256
 #: Bytes that are encoded at once, so that the dictionary counts throughout a long text.
 SEGMENT = 4096
 LEVEL = 5
@@ -56,16 +58,24 @@ NEAR, MINIMUM = 0.9, 16384
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(labelled: DataFrame, samples: int = SAMPLES, snippet: int = SNIPPET, dictionary: int = DICTIONARY) -> dict[str, bytes]:
+def pieces(text: str = "text", count: int = PIECES, size: int = PIECE) -> Column:
+    """A text as it is, or, if it is longer than all pieces together, its pieces from beginning to end, each on its own line."""
+    c, n = F.col(text), F.length(text)
+    step = (n - size) / F.lit(count - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(c, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(n <= count * size, c).otherwise(F.array_join(spread, "\n"))
+
+
+def fit(labelled: DataFrame, samples: int = SAMPLES, dictionary: int = DICTIONARY) -> dict[str, bytes]:
     """Raw-content dictionaries by language from rows (doc_id, text, lang).
 
-    At most ``samples`` texts a language, those of smallest md5(doc_id), reach the
-    driver, each cut to ``snippet`` characters.
+    At most ``samples`` texts a language are taken, those of smallest md5(doc_id); each
+    reaches the driver as pieces of its whole length.
     """
     rank = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     rows = (
         labelled.where("lang is not null and text is not null")
-        .select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.substring("text", 1, snippet).alias("text"), "lang")
+        .select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), pieces().alias("text"), "lang")
         .withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= samples)
         .select("lang", "r", "text")
