@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflux.llm import decontamination, language, mixture, ngram_join, secrets
-from folioflux.llm.common import fold, table, written
+from folioflux.llm.common import dropped_since, fold, mark, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped_since(spark, begun, path)  # the stage's own tables and its predecessor's result
     return STAGES[-1][1](spark, docs, sf_dir)
