@@ -1,13 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Tokens are ordered by their frequency over all blocks, rarest first. A template's prefix
-is so many of its rarest tokens that any block with the threshold's containment holds one
-of them; blocks meet templates on these tokens, then pass a length filter, a positional
-filter (what can still overlap after the first common token) and the exact overlap.
-Blocks are lines. DataFrame operations only.
+A block is a run of consecutive words, so many that a template's words may stand in it with
+as large a share of others as may be missing; blocks begin at every word and pass over line
+ends and comment marks. Tokens are ordered by their frequency over all documents, rarest
+first. A template's prefix is so many of its rarest tokens that any block with the
+threshold's containment holds one of them. Each place of a prefix token meets the templates
+of the token; what stands around it has to pass a length filter (enough distinct template
+tokens), a positional filter (enough of them from this token on, in the order of both sides)
+and, for templates that a few words decide, to hold their naming tokens; then every block
+there is intersected exactly. DataFrame operations only.
 
 Defined results: a null text counts as empty, with no words, places or labels and score 0;
-a line's repeated tokens count once; rows repeat as they are; an empty table gives an
+a block's repeated tokens count once; rows repeat as they are; an empty table gives an
 empty result. A tie between templates keeps all their labels.
 """
 
@@ -23,20 +27,22 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a template's tokens that a block must hold.
 CONTAINMENT = 0.8
+#: Templates that are broadcast at most; more are joined by shuffles.
+BROADCAST_TEMPLATES = 10_000
 
 #: Phrases whose consecutive words are places, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Templates by label.
+#: Templates as label, text and the tokens that must not be missing.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ""),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license", "creative sharealike"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla"),
 )
 
 
@@ -44,11 +50,6 @@ def lowered(text: str = "text") -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Lines of docs as rows (doc_id, key, line); key tells texts apart."""
-    return docs.select("doc_id", F.md5("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
-
-
 def tokens(text: str = "text") -> Column:
     """Words of a text in order; an empty string may stand at either end."""
     return F.split(lowered(text), GAP)
@@ -60,34 +61,68 @@ def n_words(words: Column) -> Column:
     return F.greatest(F.lit(0), F.size(words) - ends).cast("long")
 
 
-def ordered(docs: DataFrame, templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    """Templates as (label, distinct tokens from rarest to most frequent over all blocks; ties by token)."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = F.array_intersect(tokens("line"), F.array(*map(F.lit, vocabulary)))
-    rows = blocks(docs).select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()  # as many rows as the templates have words
+def need(tokens: int, containment: float = CONTAINMENT) -> int:
+    """Tokens of a template of so many distinct ones that a block must hold."""
+    return math.ceil(containment * tokens - 1e-9)
+
+
+def width(template: str, containment: float = CONTAINMENT) -> int:
+    """Words of a template's blocks."""
+    return math.ceil(len(template.split()) / containment - 1e-9)
+
+
+def ordered(docs: DataFrame, templates=TEMPLATES) -> list[str]:
+    """The templates' tokens from rarest to most frequent by the documents that hold them; ties by token."""
+    vocabulary = sorted({w for t in templates for w in t[1].split()})
+    held = F.array_intersect(tokens(), F.array(*map(F.lit, vocabulary)))
+    rows = docs.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()  # as many rows as the templates have words
     count = {r["token"]: r["n"] for r in rows}
-    return [(label, sorted(set(t.split()), key=lambda w: (count.get(w, 0), w))) for label, t in templates]
+    return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """Every (doc_id, key, line, template, label, containment) at or over the threshold, once a line's text in a document."""
+    """Blocks at or over the threshold: (doc_id, key, template, label, start_word, end_word, containment), the best around each place of a prefix token; key tells texts apart."""
     order = ordered(docs, templates)
-    index, prefixes = [], set()
-    for t, (label, words) in enumerate(order):
-        need = math.ceil(containment * len(words) - 1e-9)
-        for at, word in enumerate(words[: len(words) - need + 1]):
-            index.append((word, t, label, at, need, words))
-            prefixes.add(word)
+    rank = {w: k for k, w in enumerate(order)}
+    index = []
+    for t, (label, text, naming) in enumerate(templates):
+        words = sorted(set(text.split()), key=rank.__getitem__)
+        least = need(len(words), containment)
+        index += [(word, t, label, least, width(text, containment), words, naming.split(), rank[word]) for word in words[: len(words) - least + 1]]
     spark = docs.sparkSession
-    table = spark.createDataFrame(index, "token string, template int, label string, at int, need int, words array<string>")
-    lines = blocks(docs).withColumn("token", F.explode(F.array_intersect(tokens("line"), F.array(*map(F.lit, sorted(prefixes))))))
-    lines = lines.withColumn("tokens", F.array_remove(F.array_distinct(tokens("line")), ""))
-    found = lines.join(F.broadcast(table), "token")  # the templates are parameters, some dozens of rows
-    found = found.where(F.size("tokens") >= F.col("need"))
-    first = F.forall(F.slice("words", F.lit(1), F.col("at")), lambda w: ~F.array_contains("tokens", w))  # each pair once, at its first common token
-    found = found.where(first & (F.size("words") - F.col("at") >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "tokens"))
-    return found.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "key", "line", "template", "label", (F.col("overlap") / F.size("words")).alias("containment"))
+    table = spark.createDataFrame(index, "token string, template int, label string, need int, width int, template_words array<string>, naming array<string>, rank int")
+    table = F.broadcast(table) if len(templates) <= BROADCAST_TEMPLATES else table
+    prefixes = F.array(*map(F.lit, sorted({r[0] for r in index})))
+    reach = max((r[4] for r in index), default=1)
+    rows = docs.select("doc_id", "text", tokens().alias("all")).where(F.arrays_overlap("all", prefixes))
+    rows = rows.select("doc_id", F.md5("text").alias("key"), F.array_remove("all", "").alias("words"))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda p: F.array_contains(prefixes, F.get("words", p)))
+    first = lambda p: F.greatest(F.lit(0), p - (reach - 1))
+    near = F.transform(at, lambda p: F.struct(p.alias("at"), first(p).alias("first"), F.slice("words", first(p) + 1, p - first(p) + reach).alias("near")))
+    hits = rows.select("doc_id", "key", F.explode(near).alias("x")).select("doc_id", "key", "x.*")
+    hits = hits.withColumn("token", F.get("near", F.col("at") - F.col("first"))).join(table, "token")
+    # What blocks with this place can hold, as far as the template's width goes.
+    begin = F.greatest(F.lit(0), F.col("at") - F.col("first") - (F.col("width") - 1))
+    hits = hits.withColumn("near", F.slice("near", begin + 1, F.col("at") - F.col("first") - begin + F.col("width"))).withColumn("first", F.col("first") + begin)
+    hits = hits.where(F.size("near") >= F.col("need"))
+    ranks = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*[F.lit(k) for k in range(len(order))]))
+    hits = hits.withColumn("known", F.array_intersect("near", F.array(*map(F.lit, order))))
+    hits = hits.where(F.size("known") >= F.col("need"))
+    # Pairs count at their first common token: the tokens left from there on, of the template and of the block, bound the overlap.
+    mine = F.size(F.filter("known", lambda w: F.element_at(ranks, w) >= F.col("rank")))
+    theirs = F.size(F.filter("template_words", lambda w: F.element_at(ranks, w) >= F.col("rank")))
+    hits = hits.where((F.least(mine, theirs) >= F.col("need")) & (F.size(F.array_except("naming", "known")) == 0))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("near") - F.col("width")))
+
+    def block(s: Column) -> Column:
+        here = F.slice("near", s + 1, F.col("width"))
+        named = F.size(F.array_except("naming", here)) == 0
+        return F.struct(F.when(named, F.size(F.array_intersect("template_words", here))).otherwise(0).alias("overlap"), (-s).alias("s"))
+
+    hits = hits.withColumn("best", F.array_max(F.transform(starts, block))).where(F.col("best.overlap") >= F.col("need"))
+    start = F.col("first") - F.col("best.s")
+    end = F.least(start + F.col("width"), F.col("first") + F.size("near"))
+    return hits.select("doc_id", "key", "template", "label", start.alias("start_word"), end.alias("end_word"), (F.col("best.overlap") / F.size("template_words")).alias("containment"))
 
 
 def places(phrases=PHRASES) -> Column:

@@ -125,16 +125,17 @@ QUERIES |= {"op6_mixture": op6_mixture, "op8_language": op8_language}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LICENSE_WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-_TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))}, {naming.split()}::VARCHAR[], {licenses.need(len(set(t.split())))}, {licenses.width(t)})" for label, t, naming in licenses.TEMPLATES)
 ORACLE["op5_licenses"] = f"""
-WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_LICENSE_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {_LICENSE_WORDS.format("coalesce(text, '')")} AS words FROM documents),
 p AS (SELECT rid, doc_id, len(words) AS n_words, list_filter(range(0, len(words) - 1), lambda i: words[i + 1] = 'mit' AND words[i + 2] = 'license') AS mit,
   list_filter(range(0, len(words) - 1), lambda i: words[i + 1] = 'apache' AND words[i + 2] = 'license') AS apache,
   list_filter(range(0, len(words) - 2), lambda i: words[i + 1] = 'general' AND words[i + 2] = 'public' AND words[i + 3] = 'license') AS gpl FROM w),
-t(label, tokens) AS (VALUES {_TEMPLATES}),
-b AS (SELECT rid, {_LICENSE_WORDS.format("line")} AS tokens FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w)),
-m AS (SELECT rid, list(DISTINCT label) AS found, max(len(list_intersect(t.tokens, list_distinct(b.tokens)))::DOUBLE / len(t.tokens)) AS most FROM b, t
-  WHERE len(list_intersect(t.tokens, list_distinct(b.tokens))) >= ceil({licenses.CONTAINMENT} * len(t.tokens) - 1e-9) GROUP BY rid),
+t(label, tokens, naming, need, width) AS (VALUES {_TEMPLATES}),
+c AS (SELECT rid, words, t.* FROM w, t WHERE len(list_intersect(tokens, list_distinct(words))) >= need AND list_has_all(words, naming)),
+b AS (SELECT rid, label, tokens, naming, need, words[s + 1:s + width] AS block FROM (SELECT *, unnest(range(0, 1 + greatest(0, len(words) - width))) AS s FROM c)),
+m AS (SELECT rid, list(DISTINCT label) AS found, max(len(list_intersect(tokens, list_distinct(block)))::DOUBLE / len(tokens)) AS most FROM b
+  WHERE len(list_intersect(tokens, list_distinct(block))) >= need AND list_has_all(block, naming) GROUP BY rid),
 l AS (SELECT p.*, list_concat(list_concat(mit, apache), gpl) AS starts, list_concat(list_concat(CASE WHEN len(mit) > 0 THEN ['mit'] ELSE []::VARCHAR[] END, CASE WHEN len(apache) > 0 THEN ['apache'] ELSE []::VARCHAR[] END), CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE []::VARCHAR[] END) AS named,
   coalesce(found, []::VARCHAR[]) AS found, coalesce(most, 0) AS most FROM p LEFT JOIN m USING (rid))
 SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word, array_to_string(list_sort(named), ',') AS base_labels,
