@@ -155,3 +155,34 @@ d AS (SELECT s.doc_id, s.size, source_size, rank, target, floor(target + 0.5)::B
 e AS (SELECT *, CASE WHEN rank % 2 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS a, CASE WHEN goal > 0 THEN least(1.0::DOUBLE, begun::DOUBLE / goal) ELSE 1.0 END AS share,
   (greatest(0, least(size, goal - begun)) + greatest(0, least(size, goal - begun - source_size)) + greatest(0, least(size, goal - begun - 2 * source_size)))::BIGINT AS taken FROM d)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(((1 + a) - sqrt(greatest(0, (1 + a) * (1 + a) - 4 * a * share))) / (2 * a), 9) END AS position FROM e"""
+
+
+def _spans_sql(name: str, pattern: str, rank: int, kind: str, keep: str = "true") -> str:
+    """A CTE {name}(rid, start, fin, rank, kind, m) of a pattern's matches, positions summed over what a split leaves."""
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT rid, start::BIGINT AS start, (start + length(m))::BIGINT AS fin, {rank} AS rank, '{kind}' AS kind, m FROM (
+  SELECT rid, m, sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m) AS start FROM (
+  SELECT rid, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap FROM (
+  SELECT rid, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d))) WHERE {keep})"""
+
+
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_RUN = r"[A-Za-z0-9+/_=-]+(?:[.][A-Za-z0-9+/_=-]+)*"
+_MIXED = "len(list_filter(string_split(m, '.'), lambda x: length(x) >= 20 AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))) > 0"
+_NAMED = secrets.NAMED.replace("'", "''")
+_SHOWN = "string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank)"
+ORACLE["op10_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans_sql("assign", secrets.ASSIGN, 0, "assign", f"length(regexp_extract(m, '{_ASSIGN}', 1)) >= 6")},
+{_spans_sql("access", secrets.ACCESS, 1, "access")}, {_spans_sql("hex", secrets.HEX, 2, "hex")},
+{_spans_sql("identifier", secrets.IDENTIFIER, 5, "identifier")}, {_spans_sql("endpoint", secrets.ENDPOINT, 6, "endpoint")},
+strong AS (FROM assign UNION ALL FROM access UNION ALL FROM hex), parts AS (FROM access UNION ALL FROM identifier UNION ALL FROM endpoint),
+{_spans_sql("runs", _RUN, 3, "weak", _MIXED)},
+weak AS (SELECT runs.*, regexp_matches(substr(t, before + 1, start - before), '{_NAMED}') OR regexp_matches(m, '{secrets.ASSIGNED}') AS named
+  FROM (SELECT *, coalesce(lag(fin) OVER (PARTITION BY rid ORDER BY start), 0) AS before FROM runs WHERE rid IN (SELECT rid FROM parts)) runs JOIN d USING (rid)),
+linked AS (SELECT DISTINCT w.rid, w.start, w.fin, 3 AS rank, 'weak' AS kind, w.m FROM weak w JOIN parts p ON p.rid = w.rid AND p.start < w.fin + {secrets.RADIUS} AND w.start - {secrets.RADIUS} < p.fin AND (p.rank <> 6 OR w.named)
+  WHERE NOT EXISTS (FROM (FROM strong UNION ALL FROM parts) s WHERE s.rid = w.rid AND s.start < w.fin AND w.start < s.fin)),
+b AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_SHOWN} AS shown FROM strong GROUP BY rid),
+a AS (SELECT rid, {_SHOWN} AS spans FROM (FROM strong UNION ALL FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(shown, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""

@@ -25,7 +25,7 @@ def test_spaced_letters_in_a_long_text():
 def test_long_and_dotted_secrets(spark):
     key, token = "AKIA" + "A1" * 8, "Zx9+Qw3rTy/" * 18 + "a="
     jwt = ".".join(["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"])
-    texts = [f"id {key}\nsession {token} end", f"client_id=web1 bearer {jwt}.", f"see https://db.example.org/x with {token}.", f"nothing beside {token} {jwt}", f"client_id=web1 {'ab1.' * 20_000}c www.example.org v1.2.3-rc4"]
+    texts = [f"id {key}\nsession {token} end", f"client_id=web1 bearer {jwt}.", f"see https://db.example.org/x with key {token}.", f"nothing beside {token} {jwt}", f"client_id=web1 {'ab1.' * 20_000}c www.example.org v1.2.3-rc4"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["linked"]] for r in secrets.scan(frame).collect()}
     assert len(token) >= 200 and got == {0: [token], 1: [jwt], 2: [token], 3: [], 4: []}

@@ -2,10 +2,14 @@
 
 import collections
 import random
-import re
+import time
+
+import duckdb
+import pytest
 
 from folioflux.llm import licenses, secrets
-from tests.llm.test_corpus_operators import by_windows
+from folioflux.llm.queries import ORACLE, QUERIES
+from test_corpus_operators import by_windows
 
 
 def test_wrapped_licenses(spark):
@@ -30,3 +34,55 @@ def test_wrapped_licenses(spark):
     assert [got[i][0] for i in range(6)] == [{"mit"}, {"bsd"}, {"gpl"}, set(), {"apache"}, set()]
     spans = licenses.matches(frame.where("doc_id = 0")).collect()
     assert any(r["start_word"] == 0 and r["containment"] == 1.0 for r in spans)
+
+
+def same_as_sql(spark, folder, name, tables):
+    """A registered query over these tables gives what its SQL gives in DuckDB."""
+    con = duckdb.connect()
+    for table, frame in tables.items():
+        frame.write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE[name]})").fetchall()
+    shown = lambda rows: collections.Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    assert shown(map(tuple, got.collect())) == shown(want)
+    return got
+
+
+@pytest.mark.parametrize("name", ["op4_ngram_join", "op5_licenses", "op10_secrets"])
+def test_odd_rows_against_sql(spark, docs, tmp_path, name):
+    rows = docs if name != "op4_ngram_join" else docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    same_as_sql(spark, tmp_path, name, {"documents": rows})
+
+
+def test_linked_secrets_against_sql(spark, tmp_path):
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("abcdefXYZ0189+/_-") for _ in range(n))
+    makers = [
+        lambda: "AKIA" + "".join(rng.choice("ABC123") for _ in range(rng.randint(10, 30))), lambda: f"client_id={token(5)}", lambda: "user_name: bob@example.org", lambda: f"https://h{token(3)}.example.org/p",
+        lambda: "hostname=db1.local:5432", lambda: token(rng.randint(15, 200)), lambda: ".".join(token(rng.randint(3, 30)) for _ in range(3)), lambda: f"key {token(30)}", lambda: f"x: '{token(24)}'", lambda: f"conf={token(40)}",
+        lambda: f"password={token(9)}", lambda: "API_KEY : " + token(25), lambda: "%040x" % rng.getrandbits(160), lambda: "é 日本 word " * rng.randint(1, 30), lambda: "\n", lambda: "x" * 25, lambda: "1" * 30,
+    ]
+    texts = ["".join(rng.choice(makers)() + rng.choice([" ", "\n", ", ", ""]) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20] + [None, ""])], "doc_id long, text string")
+    got = same_as_sql(spark, tmp_path, "op10_secrets", {"documents": frame})
+    spans = {r["doc_id"]: r["spans"] for r in got.collect()}
+    assert sum("weak" in s for s in spans.values()) > 20
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(frame).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s):
+            if start > at or not out:
+                out += [t[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert clean[i] == ("".join(out) + t[at:] if out else t)
+    assert clean[len(texts) + 20] is None
+
+
+def test_many_secrets_in_a_long_text(spark):
+    text = " ".join("%032x" % (i * 7919 + 10**30) for i in range(12_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.monotonic()
+    assert len(secrets.scan(frame).first()["strong"]) == 12_000
+    assert secrets.redacted(frame).first()["text"] == " ".join(["[SECRET]"] * 12_000)
+    assert time.monotonic() - begun < 40
