@@ -29,8 +29,8 @@ MAX_WORDS = 4000
 THRESHOLD = 0.7
 #: Letters of a stem.
 STEMS = (4, 5)
-#: Folds of the sample whose margins, each predicted from the others, the calibration is fitted on.
-FOLDS = 3
+#: Folds of the sample whose margins, each predicted from the others and their lexicon, the calibration is fitted on.
+FOLDS = 6
 WINDOW = 50
 NEAR = 5
 
@@ -60,38 +60,65 @@ def keys(words: list[str]) -> set[str]:
     return distinct | {"^" + w[:k] for w in distinct for k in STEMS if len(w) > k}
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def plain(text: str | None) -> tuple[list[str], list[str], list[float]]:
+    """What of a text's features no lexicon enters: its words, disguised words undone, and the features."""
     text = text or ""
     words = tokens(text)
-    n = max(1, len(words))
-    curated = sum(w in INSULTS for w in words)
-    got = [lexicon.get(w, 0.0) for w in words]
-    stem = [max((lexicon.get("^" + w[:k], 0.0) for k in STEMS if len(w) > k), default=0.0) for w in words]
-    marks = np.fromiter((g > 0 or s > 0 or w in INSULTS for g, s, w in zip(got, stem, words, strict=True)), bool, len(words))
-    at = np.flatnonzero(marks)
-    densest = 0
-    if len(at):
-        densest = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
-    second = np.flatnonzero(np.fromiter((w in SECOND for w in words), bool, len(words)))
-    near = 0
-    if len(at) and len(second):
-        near = int(np.count_nonzero(np.searchsorted(at, second + NEAR, "right") - np.searchsorted(at, second - NEAR)))
     raw = text.split()
-    size = max(1, len(text))
+    n, size = max(1, len(words)), max(1, len(text))
     mixed = [w for w in words if not w.isalpha() and _MIXED.match(w)]
     spaced = _SPACED.findall(text)
-    revealed = sum((r := w.translate(LEET).replace("*", "")) in INSULTS or r in lexicon for w in mixed)
-    for s in spaced:
-        r = re.sub(r"[ .\-_*]", "", s).lower()
-        revealed += r in INSULTS or r in lexicon
+    undone = [w.translate(LEET).replace("*", "") for w in mixed] + [re.sub(r"[ .\-_*]", "", s).lower() for s in spaced]
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    return [
-        math.log1p(len(words)), curated / n, sum(g > 0 for g in got) / n, sum(got) / n, sum(s > 0 for s in stem) / n, sum(stem) / n,
-        math.log1p(len(at)), min(densest, WINDOW) / min(n, WINDOW), len(second) / n, near / n,
+    shown = [
+        math.log1p(len(words)), sum(w in INSULTS for w in words) / n, sum(w in SECOND for w in words) / n,
         capitals / size, sum(w.isupper() and len(w) > 2 for w in raw) / n, text.count("!") / n,
         sum(map(text.count, ".,;:!?%*#|")) / size, (text.count("!!") + text.count("??") + text.count("***")) / n,
-        (len(mixed) + len(spaced)) / n, revealed / n,
+        (len(mixed) + len(spaced)) / n,
     ]
+    return words, undone, shown
+
+
+class Lexicon:
+    """Learned weights of words and stems; what a word gets is remembered, up to REMEMBERED words."""
+
+    REMEMBERED = 1 << 18
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.known = weights, {}
+
+    def __call__(self, word: str) -> tuple[float, float]:
+        """Weight of a word, and the largest of its stems."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            stem = max((self.weights.get("^" + word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
+            got = self.known[word] = (self.weights.get(word, 0.0), stem)
+        return got
+
+
+def weighed(words: list[str], undone: list[str], shown: list[float], lexicon: Lexicon) -> list[float]:
+    """All features, in the order of NAMES."""
+    n = max(1, len(words))
+    got, stem = np.array([lexicon(w) for w in words]).reshape(-1, 2).T
+    insult = np.fromiter((w in INSULTS for w in words), bool, len(words))
+    at = np.flatnonzero((got > 0) | (stem > 0) | insult)
+    second = np.flatnonzero(np.fromiter((w in SECOND for w in words), bool, len(words)))
+    densest = near = 0
+    if len(at):
+        densest = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
+        near = int((np.searchsorted(at, second + NEAR, "right") - np.searchsorted(at, second - NEAR)).sum())
+    revealed = sum(w in INSULTS or w in lexicon.weights for w in undone)
+    log_words, curated, second_share, *rest = shown
+    return [
+        log_words, curated, np.count_nonzero(got > 0) / n, float(got.sum()) / n, np.count_nonzero(stem > 0) / n, float(stem.sum()) / n,
+        math.log1p(len(at)), min(densest, WINDOW) / min(n, WINDOW), second_share, near / n, *rest, revealed / n,
+    ]
+
+
+def features(text: str | None, lexicon: dict[str, float] | Lexicon) -> list[float]:
+    return weighed(*plain(text), lexicon if isinstance(lexicon, Lexicon) else Lexicon(lexicon))
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> dict:
@@ -166,63 +193,82 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.maximum.accumulate(np.array(ps))
 
 
-def learn(texts: DataFrame, min_count: int = 3, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Weights of words and stems that rows (text, toxic) show mostly under label 1."""
+def learn(texts: DataFrame, min_count: int = 3, max_words: int = MAX_WORDS, folds: int = FOLDS) -> list[dict[str, float]]:
+    """Lexicons from rows (text, toxic, fold): for each fold that of the other folds' rows, and last that of all.
+
+    A lexicon has the weights of words and stems that stand mostly under label 1.
+    """
+    names = [f"{y}{k}" for k in range(folds) for y in ("c", "t")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+        found: list[Counter] = [Counter() for _ in names]
 
         def out() -> pa.RecordBatch:
-            names = list(set(found[0]) | set(found[1]))
-            cols = [pa.array(names, pa.string())] + [pa.array([found[k][w] for w in names], pa.int64()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(cols, ["key", "clean", "toxic"])
+            every = list(set().union(*found))
+            cols = [pa.array(every, pa.string())] + [pa.array([c[w] for w in every], pa.int64()) for c in found]
+            return pa.RecordBatch.from_arrays(cols, ["key", *names])
 
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1), strict=True):
-                found[y.as_py()].update(keys(tokens(text.as_py())))
-            if len(found[0]) + len(found[1]) > 400_000:
+            for text, y, k in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found[2 * k + y].update(keys(tokens(text.as_py())))
+            if sum(map(len, found)) > 400_000:
                 yield out()
-                found[0].clear()
-                found[1].clear()
+                for c in found:
+                    c.clear()
         yield out()
 
-    total = texts.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    bad, n = total["t"] or 0, total["n"]
-    if not bad or bad == n:
-        return {}
-    counts = texts.select("text", "toxic").mapInArrow(count, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    weight = F.log((F.col("t") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(n - bad + 1.0))
-    rows = counts.where(F.col("t") >= min_count).withColumn("w", weight).where("w > 2").orderBy(F.desc(F.col("w") * F.sqrt("t")), "key").limit(max_words).collect()
-    return {r["key"]: float(r["w"]) for r in rows}
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
+    kinds = ", ".join(f"{n} long" for n in names)
+    counts = texts.select("text", "toxic", "fold").mapInArrow(count, f"key string, {kinds}").groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).persist()
+    lexicons = []
+    try:
+        for left_out in [*range(folds), None]:
+            use = [k for k in range(folds) if k != left_out]
+            good, bad = (sum(sizes.get((k, y), 0) for k in use) for y in (0, 1))
+            if not good or not bad:
+                lexicons.append({})
+                continue
+            c, t = (sum((F.col(f"{y}{k}") for k in use), F.lit(0)) for y in ("c", "t"))
+            weight = F.log((t + 0.5) / F.lit(bad + 1.0)) - F.log((c + 0.5) / F.lit(good + 1.0))
+            rows = counts.select("key", t.alias("t"), weight.alias("w")).where(F.col("t") >= min_count).where("w > 2")
+            lexicons.append({r["key"]: float(r["w"]) for r in rows.orderBy(F.desc(F.col("w") * F.sqrt("t")), "key").limit(max_words).collect()})
+    finally:
+        counts.unpersist()
+    return lexicons
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), of which the bounded sample is taken."""
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), of which the bounded sample is taken.
+
+    Every row's features come from the lexicon of the other folds, so trees meet words as they
+    will in new texts, and the calibration is fitted on margins from the other folds' trees.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sample = marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    sample = marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     # The sample has max_rows narrow rows at most, so it may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").repartition(32, "doc_id").persist()
     try:
-        lexicon = learn(texts)
-        kind = ", ".join(f"{n} double" for n in NAMES)
+        lexicons = learn(texts)
 
         def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [Lexicon(x) for x in lexicons]
             for batch in batches:
-                rows = [features(t.as_py(), lexicon) for t in batch.column(1)]
+                rows = [features(t.as_py(), held[k]) for t, k in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
                 cols = [pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(NAMES))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["doc_id", "toxic", *NAMES])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "toxic", "fold", *NAMES])
 
         id_kind = texts.schema["doc_id"].dataType.simpleString()
-        rows = texts.mapInArrow(dense, f"doc_id {id_kind}, toxic int, {kind}").orderBy("doc_id", *NAMES).toPandas()
+        kinds = ", ".join(f"{n} double" for n in NAMES)
+        rows = texts.mapInArrow(dense, f"doc_id {id_kind}, toxic int, fold int, {kinds}").orderBy("doc_id", *NAMES).toPandas()
     finally:
         texts.unpersist()
     y = rows["toxic"].to_numpy(float)
-    model = {"lexicon": lexicon, "share": (y.sum() + 0.5) / (len(y) + 1.0), "trees": None}
+    model = {"lexicon": lexicons[-1], "share": (y.sum() + 0.5) / (len(y) + 1.0), "trees": None}
     if 0 < y.sum() < len(y):
-        x = rows[list(NAMES)].to_numpy(float)
-        part, margins = np.arange(len(y)) % FOLDS, np.zeros(len(y))
+        x, part, margins = rows[list(NAMES)].to_numpy(float), rows["fold"].to_numpy(), np.zeros(len(y))
         for k in range(FOLDS):
-            margins[part == k] = margin(boost(x[part != k], y[part != k]), x[part == k])
+            if (part == k).any():
+                margins[part == k] = margin(boost(x[part != k], y[part != k]), x[part == k])
         model["trees"] = boost(x, y)
         model["knots"] = isotonic(margins, y)
     return model
@@ -233,11 +279,12 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(model["lexicon"])
         for batch in batches:
             if model["trees"] is None or not batch.num_rows:
                 p = np.full(batch.num_rows, model["share"])
             else:
-                x = np.array([features(t.as_py(), model["lexicon"]) for t in batch.column(1)])
+                x = np.array([features(t.as_py(), lexicon) for t in batch.column(1)])
                 p = np.interp(margin(model["trees"], x), *model["knots"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype("int32"))], ["doc_id", "score", "predicted"])
 
