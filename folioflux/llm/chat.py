@@ -8,7 +8,7 @@ chunk is then decoded between them, so no conversation has to fit into one task.
 
 Defined results: null and empty texts are turns without marker or lines; rows without
 conversation or turn are decoded by themselves; rows with the same turn stand in
-order of their text; equal paths go to the first role in code point order; without
+order of their text's 64-bit hash; equal paths go to the first role in code point order; without
 labelled rows every role is null; an empty table gives an empty result.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Labelled turns that a model is counted on at most: those of smallest md5(conv_id).
 MAX_TURNS = 30_000
@@ -78,9 +79,10 @@ def _features(rows: DataFrame, extra: list[str]) -> DataFrame:
 
 def fit(rows: DataFrame, max_turns: int = MAX_TURNS) -> dict:
     """Log probabilities from rows (conv_id, turn, role, text), of which the bounded sample is taken."""
-    labelled = rows.where("role is not null and conv_id is not null and turn is not null")
-    sample = _features(labelled, ["conv_id", "turn", "role"]).withColumn("h", F.md5(F.col("conv_id").cast("string")))
-    sample = sample.orderBy("h", "conv_id", "turn", "role").limit(max_turns).collect()
+    labelled = rows.where("role is not null and conv_id is not null and turn is not null").withColumn("h", F.md5(F.col("conv_id").cast("string")))
+    order = ["h", "conv_id", "turn", "role", "text"]
+    taken = labelled.select(*order).orderBy(*order).limit(max_turns)  # features are looked at for these only
+    sample = _features(taken, ["h", "conv_id", "turn", "role"]).orderBy(*order[:4], "seen").collect()
     roles = sorted({r["role"] for r in sample})
     k = len(roles)
     start, move = np.full(k, 0.5), np.full((k, k), 0.5)
@@ -156,8 +158,7 @@ def decoded(rows: DataFrame, model: dict, chunk: int = CHUNK) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    conv_type, turn_type = arrow[conv_kind], arrow[turn_kind]
+    conv_type, turn_type = (to_arrow_type(rows.schema[c].dataType) for c in ("conv_id", "turn"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def matrices() -> Iterator[tuple]:

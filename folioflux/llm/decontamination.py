@@ -11,7 +11,8 @@ or else with the first half of the words; the answer is the rest.
 
 Passages are twice as long as the longest item of a length class and start every
 length of such an item, so an item of the class lies whole in one of them. The index is
-broadcast in shards of bounded size; statistics cover all items.
+broadcast in shards of bounded size, SHARDS of them for each pass over the documents;
+statistics cover all items.
 
 Defined results: null and empty texts and items hold nothing and match nothing; items of
 fewer than five words are one shingle; repeated items match each by themselves; of equal
@@ -22,14 +23,17 @@ and keep the null; empty tables give an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -38,6 +42,8 @@ CONTAINMENT, PART = 0.75, 0.5
 SHINGLE = 5
 #: Postings of a shard of the index at most, about: the bound of what is broadcast.
 MAX_POSTINGS = 400_000
+#: Shards that one pass over the documents searches; each task holds one at a time.
+SHARDS = 8
 #: Ranges of items for whole passages, and postings of a block.
 RANGES, BLOCK = 32, 16
 #: Tokens that are scored together.
@@ -210,13 +216,14 @@ def shards(benchmark: DataFrame, max_postings: int = MAX_POSTINGS) -> Iterator[I
             yield Index(items, df, total["items"], total["words"] / total["items"])
 
 
-def search(docs: DataFrame, index: Index, item_kind: str, threshold: float = THRESHOLD, containment: float = CONTAINMENT, part: float = PART) -> DataFrame:
-    """Verified matches of one shard: (doc_id, item_id, score, start_word, overlap, question_overlap, answer_overlap)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def search(docs: DataFrame, indexes: list[Index], item_type: DataType, threshold: float = THRESHOLD, containment: float = CONTAINMENT, part: float = PART) -> DataFrame:
+    """Verified matches of some shards in one pass: (doc_id, item_id, score, start_word, overlap, question_overlap, answer_overlap)."""
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(pickle.dumps(index)) for index in indexes]
 
-    def scan(ids: list, texts: list[list[bytes]], numbers: list[np.ndarray]) -> list[tuple]:
-        held = shared.value
+    def scan(held: Index, ids: list, texts: list[list[bytes]]) -> list[tuple]:
+        get = held.terms.get
+        numbers = [np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)) for words in texts]
         best: dict[tuple[int, int, int], tuple] = {}
         sizes = np.array([len(x) for x in numbers])
         owner = np.repeat(np.arange(len(ids)), sizes)
@@ -256,33 +263,32 @@ def search(docs: DataFrame, index: Index, item_kind: str, threshold: float = THR
         return list(best.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.terms.get
-
-        def send(found: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        def send(found: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) or [[]] * 7
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], id_type), pa.array(cols[1], item_type), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[4:]]],
-                ["doc_id", "item_id", "score", "start_word", "overlap", "question_overlap", "answer_overlap"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
+        one = pickle.loads(shared[0].value) if len(shared) == 1 else None  # else a shard is unpacked for each group of texts, and only one is held
+        ids, texts, held = [], [], 0
         for batch in batches:
-            ids, texts, numbers, held = [], [], [], 0
-            found = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = tokens(text.as_py())
                 ids.append(doc_id)
-                texts.append(words)
-                numbers.append(np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)))
-                held += len(words)
-                if held > TOKENS:
-                    found += scan(ids, texts, numbers)
-                    ids, texts, numbers, held = [], [], [], 0
-            found += scan(ids, texts, numbers)
-            yield send(found, batch.column(0).type)
+                texts.append(tokens(text.as_py()))
+                held += len(texts[-1])
+                if held > (TOKENS if one else 4 * TOKENS):
+                    for index in shared:
+                        yield send(scan(one or pickle.loads(index.value), ids, texts))
+                    ids, texts, held = [], [], 0
+        if ids:
+            for index in shared:
+                yield send(scan(one or pickle.loads(index.value), ids, texts))
+
+    names = ["doc_id", "item_id", "score", "start_word", "overlap", "question_overlap", "answer_overlap"]
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(item_type), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    return docs.select("doc_id", "text").mapInArrow(run, _schema(docs, item_type))
+
 
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, start_word long, overlap double, question_overlap double, answer_overlap double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def _schema(docs: DataFrame, item_type: DataType) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, score double, start_word long, overlap double, question_overlap double, answer_overlap double"
 
 
 def _share(part: set, here: set, words: list, short: set) -> float:
@@ -298,16 +304,11 @@ def _share(part: set, here: set, words: list, short: set) -> float:
 
 def matches(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """Verified matches of all items in all of docs, one row for each row of docs and item."""
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    max_postings = limits.pop("max_postings", MAX_POSTINGS)
-    found = None
-    for index in shards(benchmark, max_postings):
-        part = search(docs, index, item_kind, **limits)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, item_id {item_kind}, score double, start_word long, overlap double, question_overlap double, answer_overlap double"
-        found = docs.sparkSession.createDataFrame([], schema)
+    item_type = benchmark.schema["item_id"].dataType
+    every = shards(benchmark, limits.pop("max_postings", MAX_POSTINGS))
+    found = docs.sparkSession.createDataFrame([], _schema(docs, item_type))
+    while group := list(islice(every, SHARDS)):
+        found = found.unionByName(search(docs, group, item_type, **limits))
     return found
 
 

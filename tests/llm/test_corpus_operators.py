@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -289,6 +290,8 @@ def test_decontamination(spark, docs):
     for limit in (400_000, 20):  # one shard, and many
         got = decontamination.matches(docs, bench, max_postings=limit).collect()
         assert collections.Counter((r["doc_id"], r["item_id"]) for r in got) == want
+    small = bench.select(F.col("item_id").cast("smallint").alias("item_id"), "text")
+    assert decontamination.matches(docs, small).count() == sum(want.values())
     kept = decontamination.cleaned(docs, bench)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows} - {d for d, _ in want if d is not None}
@@ -332,10 +335,49 @@ def test_chat(spark):
     order = lambda rs: sorted((str(r["conv_id"]), str(r["turn"]), r["role"]) for r in rs)
     assert order(chat.decoded(frame, model, chunk=2).collect()) == order(got)
     assert {r["role"] for r in chat.decoded(frame, {"roles": []}).collect()} == {None}
+    assert order(chat.decoded(frame.withColumn("turn", F.col("turn").cast("smallint")), model).collect()) == order(got)
+    long = chat.decoded(spark.createDataFrame([(1, 1, "User: " + "x " * 400_000 + "?"), (1, 2, "y")], "conv_id long, turn long, text string"), model).collect()
+    assert len(long) == 2 and max(len(r["rendered"]) for r in long) > 800_000
     assert chat.decoded(frame.limit(0), model).count() == 0
     assert [r["text"].strip() for r in chat.lines(spark.createDataFrame([(1, "User: a\nb\nAssistant: c")], "doc_id long, text string")).orderBy("turn").collect()] == ["User: a\nb", "Assistant: c"]
 
 
+def test_viterbi_against_every_path():
+    rng = np.random.default_rng(6)
+    model = {"start": np.log(rng.dirichlet(np.ones(3))), "move": np.log(rng.dirichlet(np.ones(3), 3))}
+    for n in (1, 2, 5):
+        for entry in (None, 0, 2):
+            for exit_ in (None, 1):
+                e = np.log(rng.dirichlet(np.ones(3), n))
+
+                def cost(path, e=e, entry=entry):
+                    first = model["start"][path[0]] if entry is None else model["move"][entry, path[0]]
+                    return first + e[0, path[0]] + sum(model["move"][a, b] + e[k + 1, b] for k, (a, b) in enumerate(zip(path, path[1:])))
+
+                paths = [p for p in itertools.product(range(3), repeat=n) if exit_ is None or p[-1] == exit_]
+                assert cost(chat.best_path(model, e, entry, exit_)) == pytest.approx(max(map(cost, paths)))
+
+
+def test_boosted_trees_lower_the_loss():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 3))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    p = 1 / (1 + np.exp(-toxicity.margin(toxicity.boost(x[:400], y[:400]), x[400:])))
+    assert np.mean((p > 0.5) == y[400:]) > 0.93
+    one = toxicity.boost(x[:50], y[:50], rounds=1, depth=1)
+    feature, cut, _, value = one["trees"][0]
+    base = y[:50].mean() * 50 / 52 + 1 / 52
+    assert one["base"] == pytest.approx(np.log(base / (1 - base)))
+
+    def gain(j, c):
+        g, h, left = base - y[:50], np.full(50, base * (1 - base)), x[:50, j] <= c
+        part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+        return part(left) + part(~left)
+
+    best = max(gain(j, c) for j in range(3) for c in np.unique(np.quantile(x[:50, j], np.linspace(0, 1, 33)[1:-1])))
+    assert gain(feature[0], cut[0]) == pytest.approx(best) and feature[1] == feature[2] == -1
+
+
 def test_names():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
