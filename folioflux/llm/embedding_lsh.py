@@ -5,7 +5,8 @@ Normalised vectors are projected on random Gaussian directions and quantised in
 share a bucket are compared by cosine in double precision. Vectors that are equal form one
 class first. A pair counts in the first table in which it shares a bucket, so links are
 counted without listing them; buckets beyond ``tile`` classes are split into blocks, every
-two of which meet in a tile of their own.
+two of which meet in a tile of their own. Only numbers are shuffled until the buckets of two
+classes or more are known; vectors travel once, in the precision they came in.
 
 The number of hashes follows the number of classes, that of tables the wanted recall at
 the threshold itself; closer pairs are found more surely.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import components, written
+from folioflux.llm.common import components, dropped, written
 
 THRESHOLD = 0.9
 RECALL = 0.98
@@ -72,8 +73,13 @@ def buckets(vectors: np.ndarray, hashes: int, tables: int, width: float = WIDTH)
     return out.view(np.int64)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _precision(rows: DataFrame) -> type:
+    """What a component of the vectors is held as: single precision where they come in it."""
+    return np.float32 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+
+
+def _matrix(data: list[bytes], precision: type) -> np.ndarray:
+    return np.frombuffer(b"".join(data), precision).reshape(len(data), -1).astype(np.float64)
 
 
 def _by_length(column: pa.Array) -> Iterator[np.ndarray]:
@@ -83,8 +89,8 @@ def _by_length(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(vec_id, cls, vec): the vector as bytes of doubles and a hash of them; both null where it links with nothing."""
-    kind = rows.schema["vec_id"].dataType.simpleString()
+    """(vec_id, cls, vec): the vector's components as bytes and a hash of them; both null where it links with nothing."""
+    kind, precision = rows.schema["vec_id"].dataType.simpleString(), _precision(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +99,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 v = value.values if value.is_valid else None
                 data = None
                 if row_id.is_valid and v is not None and len(v) and not v.null_count:
-                    a = v.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                    a = v.to_numpy(zero_copy_only=False).astype(precision) + precision(0)
                     if np.isfinite(a).all() and a.any():
                         data = a.tobytes()
                 vec.append(data)
@@ -103,26 +109,24 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "embedding").mapInArrow(pack, f"vec_id {kind}, cls long, vec binary")
 
 
-def placed(classes: DataFrame, hashes: int, tables: int, width: float = WIDTH, vectors: bool = True) -> DataFrame:
-    """Rows (t, bucket, cls[, size, vec]), one for each class and table."""
+def placed(classes: DataFrame, hashes: int, tables: int, precision: type, width: float = WIDTH) -> DataFrame:
+    """Rows (t, bucket, cls), one for each class and table."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in (range(i, min(i + 512, whole.num_rows)) for i in range(0, whole.num_rows, 512)):
-                batch = whole.slice(at.start, len(at))
-                for rows in _by_length(batch.column(2)):
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                for rows in _by_length(batch.column(1)):
                     part = batch.take(pa.array(rows))
-                    found = buckets(_matrix(part.column(2)), hashes, tables, width)
+                    found = buckets(_matrix(part.column(1).to_pylist(), precision), hashes, tables, width)
                     again = pa.array(np.tile(np.arange(len(rows)), tables))
                     cols = [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(rows))), pa.array(found.T.reshape(-1)), part.column(0).take(again)]
-                    if vectors:
-                        cols += [part.column(1).take(again), part.column(2).take(again)]
-                    yield pa.RecordBatch.from_arrays(cols, ["t", "bucket", "cls", "size", "vec"][: len(cols)])
+                    yield pa.RecordBatch.from_arrays(cols, ["t", "bucket", "cls"])
 
-    return classes.select("cls", "size", "vec").mapInArrow(place, "t int, bucket long, cls long" + ", size long, vec binary" * vectors)
+    return classes.select("cls", "vec").mapInArrow(place, "t int, bucket long, cls long")
 
 
-def compared(tiles: DataFrame, hashes: int, tables: int, threshold: float = THRESHOLD, width: float = WIDTH) -> DataFrame:
+def compared(tiles: DataFrame, hashes: int, tables: int, precision: type, threshold: float = THRESHOLD, width: float = WIDTH) -> DataFrame:
     """Rows (cls, add, other): what a tile adds to a class's links, and a spanning forest of the tile's links.
 
     tiles: (t, bucket, i, j, side, cls, size, vec), sorted so that tiles stand together.
@@ -131,7 +135,7 @@ def compared(tiles: DataFrame, hashes: int, tables: int, threshold: float = THRE
     def judge(t: int, i: int, j: int, rows: list) -> tuple[list, list, list]:
         side = np.array([r[0] for r in rows])
         cls, size = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        v = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), -1)
+        v = _matrix([r[3] for r in rows], precision)
         scaled = v / np.abs(v).max(1, keepdims=True)
         norm = np.sqrt((scaled * scaled).sum(1))
         add = np.zeros(len(rows), np.int64)
@@ -198,13 +202,15 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     grouped = vectors.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"), F.min("vec_id").alias("rep"), F.first("vec").alias("vec"))
     nodes, _ = written(grouped, "vectors")
     hashes, tables = shape(nodes.count(), threshold, recall, width)
-
-    hot = placed(nodes, hashes, tables, width, False).groupBy("t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    hot = hot.select("t", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
-    spread = placed(nodes, hashes, tables, width).join(hot, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("side", F.pmod("cls", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = spread.select("t", "bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "cls", "size", "vec")
-    found, _ = written(compared(tiles, hashes, tables, threshold, width), "links")
+    precision = _precision(rows)
+
+    ids, ids_path = written(placed(nodes, hashes, tables, precision, width), "buckets")
+    shared = ids.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("t", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    spread = ids.join(shared, ["t", "bucket"]).withColumn("side", F.pmod("cls", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = spread.select("t", "bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "cls").join(nodes.select("cls", "size", "vec"), "cls")
+    found, _ = written(compared(tiles, hashes, tables, precision, threshold, width), "links")
+    dropped(rows.sparkSession, ids_path)
 
     counts = found.groupBy("cls").agg(F.sum("add").alias("add"))
     comps = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
