@@ -28,6 +28,8 @@ MOST = 3
 SLOPE = 0.5
 #: Buckets of a source's running sum; a bucket holds about this many documents.
 BUCKET = 2000
+#: Buckets of a source at most, and how many are summed at once.
+BUCKETS, RUN = 1 << 24, 1 << 12
 
 
 def words(text: str = "text") -> Column:
@@ -84,16 +86,20 @@ def _planned(rows: DataFrame, weights: tuple, most: int, slope: float, carried:
     rows = rows.withColumn("h", h)
     n = F.col("n_buckets")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sums = sums.withColumn("n_buckets", F.least(F.lit(1 << 24), F.ceil(F.col("n") / BUCKET))).drop("n")
+    sums = sums.withColumn("n_buckets", F.least(F.lit(BUCKETS), F.ceil(F.col("n") / BUCKET))).drop("n")
     goal = targets(sums.select("source", "source_size"), weights, most)
     goal = goal.join(sums.select(F.col("source").alias("s2"), "n_buckets"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     goal = goal.withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * n / F.lit(4294967296.0)).cast("long")
     keyed = rows.join(goal.select(F.col("source").alias("s2"), "n_buckets"), F.col("source").eqNullSafe(F.col("s2"))).withColumn("b", bucket).drop("s2", "n_buckets")
     parts = keyed.groupBy("source", "b").agg(F.sum("size").alias("part"))
-    parts = parts.withColumn(
-        "base", F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
+    # Buckets are summed in runs of RUN, and the runs of a source among themselves: no window holds more than RUN or BUCKETS / RUN rows.
+    parts = parts.withColumn("run", F.floor(F.col("b") / RUN))
+    before = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.groupBy("source", "run").agg(F.sum("part").alias("part")).withColumn("ahead", F.coalesce(F.sum("part").over(before("run", "source")), F.lit(0)))
+    runs = runs.select(F.col("source").alias("s2"), F.col("run").alias("r2"), "ahead")
+    parts = parts.withColumn("base", F.coalesce(F.sum("part").over(before("b", "source", "run")), F.lit(0)))
+    parts = parts.join(runs, F.col("source").eqNullSafe(F.col("s2")) & (F.col("run") == F.col("r2"))).withColumn("base", F.col("base") + F.col("ahead")).drop("s2", "r2", "run", "ahead")
     parts = parts.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     parts = parts.select(F.col("source").alias("s3"), F.col("b").alias("b3"), "base", "source_size", "target", "goal", "rank")
     inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,17 +1,19 @@
 """N-gram Jaccard join: texts whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
 Texts with the same set are one class. Every class goes to the tiles of its prefix: the
-share of its rarest shingles of which a linked class must hold one. A tile is sorted by
-set size, so only sizes within the threshold's band meet; hashed bitmaps bound each
-pair's overlap from above (bits that differ are in one set only), and pairs that pass are
-decided by exact intersection of the sorted sets. Rarity comes from a table of shingle
-counts over all documents, of fixed size.
+share of its rarest shingles of which a linked class must hold one. A tile is a shingle and
+a band of set sizes; a class stands in its own band's tile, and in the next band's if sizes
+there may link with it. Within a tile, sorted by size, only sizes within the threshold
+meet; hashed bitmaps bound each pair's overlap from above (bits that differ are in one set
+only), and pairs that pass are decided by exact intersection of the sorted sets. Rarity comes
+from a table of shingle counts over all documents, of fixed size.
 
 Pairs whose bitmaps allow a link join classes into clusters; a large tile gives a
 spanning forest of such pairs, not all of them. Only texts in clusters are read again for
 their exact sets, which meet within their cluster, block by block; each block gives a
-spanning forest of its links. So no group is expanded into all its pairs, and no task
-holds more than two blocks.
+spanning forest of its links. Large tiles are split into blocks of classes as well, every
+two of which meet. So no group is expanded into all its pairs, and no task holds more than
+two blocks.
 
 Sets are held as 64-bit hashes; two texts are taken for one class, or two shingles for one,
 wrongly with probability about n * n / 2**65.
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import components, written
-from folioflux.llm.shingles import DENOMINATOR, NUMERATOR, fingerprint, shingle_set
+from folioflux.llm.common import components, dropped, written
+from folioflux.llm.shingles import DENOMINATOR, NUMERATOR, fingerprint, mixed, shingle_set
 
 #: Counters of the shingle table, and how many stand in one of its pieces.
 COUNTERS, PIECE = 1 << 16, 1 << 12
@@ -39,12 +41,19 @@ COUNTERS, PIECE = 1 << 16, 1 << 12
 SEEN = 1 << 20
 #: Classes of a tile whose pairs are listed at once.
 SMALL = 8
-#: Classes of a block of a cluster.
-BLOCK = 256
+#: Classes of a block of a large tile, and the size from which on a tile is split before its rows meet.
+TILE = 1024
+#: Keys of large tiles that are broadcast at most; more are joined by shuffles.
+BROADCAST_KEYS = 500_000
+#: Hashes of a block of a cluster.
+BLOCK = 1 << 22
 #: Bits of the filter that spares most texts their second reading; only a saving.
 FILTER = 1 << 22
 
 
+_BAND = np.uint64(0x9FB21C651E98DF25)
+
+
 def linked_sizes(overlap, a, b):
     """Whether two sets of sizes a and b link, given their overlap."""
     return DENOMINATOR * overlap >= NUMERATOR * (a + b - overlap)
@@ -103,8 +112,14 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows.where("slot is null").select("doc_id", "n", "fp", "bits"), counts.reshape(-1)
 
 
+def bands(n: int) -> range:
+    """The size bands whose tiles a set of n goes to: its own, and the next where a larger set that links with it may stand."""
+    own = (n.bit_length() - 1) // 2
+    return range(own, ((n * DENOMINATOR // NUMERATOR).bit_length() - 1) // 2 + 1)
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Rows (key, n, fp): the rarest shingles of every class, one of which any linked class shares.
+    """Rows (key, n, fp): the tiles of every class, one of which any linked class shares.
 
     A link needs an overlap of at least 75 % of either set, so of the n shingles in
     order of rarity the first n - ceil(0.75 n) + 1 are enough.
@@ -130,10 +145,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 seen.add(fp)
                 take = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
                 order = np.lexsort((h, small[_slots(h)]))[:take] if take < n else slice(None)
-                key.append(h[order])
-                size.append(np.full(take, n, np.int64))
-                owner.append(np.full(take, fp, np.int64))
-                held += take
+                for b in bands(n):
+                    key.append(mixed(h[order] + np.uint64(b) * _BAND))
+                    size.append(np.full(take, n, np.int64))
+                    owner.append(np.full(take, fp, np.int64))
+                    held += take
                 if held > 100_000:
                     yield out()
                     key, size, owner, held = [], [], [], 0
@@ -265,17 +281,18 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(rows, "sets")[0].dropDuplicates(["fp"])
 
 
-def forest(tiles: DataFrame) -> DataFrame:
+def forest(tiles: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) that join the classes of each tile (key, n, fp, bits) wherever sizes and bitmaps allow a link, as a spanning forest.
 
-    A tile streams in order of size, and only classes within the size band of the one at hand are held.
+    Tiles beyond ``tile`` classes are split into blocks, every two of which meet. A block pair
+    streams in order of size, and only classes within the size band of the one at hand are held.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, groups = None, []
         for batch in batches:
             left, right = [], []
-            for key, n, fp, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, n, fp, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != current:
                     current, groups = key, []
                 here, width = int.from_bytes(bits, "little"), 8 * len(bits)
@@ -294,32 +311,41 @@ def forest(tiles: DataFrame) -> DataFrame:
                 groups = [*others, [*merged, (n, fp, here, width)]]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return tiles.repartition("key").sortWithinPartitions("key", "n", "fp").select("key", "n", "fp", "bits").mapInArrow(join, "a long, b long").distinct()
+    sizes = tiles.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    rows = paired(tiles.join(sizes, "key"))
+    keys = ["key", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").select(*keys, "n", "fp", "bits").mapInArrow(join, "a long, b long").distinct()
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """rows (fp, blocks, ...) with i <= j, once for each pair of blocks that a row's own block stands in."""
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
 
 
 def linked(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) within each cluster (cluster, fp, hashes) by exact intersection, as a spanning forest of every two blocks."""
-
-    def judge(i: int, j: int, rows: list) -> Iterator[tuple[int, int]]:
-        rows = sorted(((side, fp, np.frombuffer(h, np.uint64)) for side, fp, h in rows), key=lambda r: (len(r[2]), r[1]))
-        parent = list(range(len(rows)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for k, (side, fp, h) in enumerate(rows):
-            for m in range(k - 1, -1, -1):
-                other, fp2, h2 = rows[m]
-                if DENOMINATOR * len(h2) < NUMERATOR * len(h):
-                    break
-                if (i != j and side == other) or (a := root(k)) == (b := root(m)):
-                    continue
-                if linked_sizes(len(np.intersect1d(h, h2, assume_unique=True)), len(h), len(h2)):
-                    parent[b] = a
-                    yield fp2, fp
+    """Links (a, b) within each cluster (cluster, fp, hashes) by exact intersection, as a spanning forest of every two blocks.
+
+    A set is compared with the sets of each group so far, the nearest sizes first, until one links.
+    """
+
+    def judge(rows: list) -> Iterator[tuple[int, int]]:
+        groups: list[list] = []
+        for n, fp, h in sorted(((len(h) // 8, fp, np.frombuffer(h, np.uint64)) for fp, h in rows), key=lambda r: r[:2]):
+            joined, others = [], []
+            for group in groups:
+                for m, other, h2 in reversed(group):
+                    if DENOMINATOR * m < NUMERATOR * n:
+                        others.append(group)
+                        break
+                    if linked_sizes(len(np.intersect1d(h, h2, assume_unique=True)), n, m):
+                        joined.append(group)
+                        yield other, fp
+                        break
+                else:
+                    others.append(group)
+            merged = sorted((g for group in joined for g in group), key=lambda g: g[0]) if len(joined) > 1 else [g for group in joined for g in group]
+            groups = [*others, [*merged, (n, fp, h)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, []
@@ -332,19 +358,15 @@ def linked(members: DataFrame, block: int = BLOCK) -> DataFrame:
             out = []
             for cluster, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cluster, i, j) != current:
-                    if rows:
-                        out += judge(current[1], current[2], rows)
+                    out += judge(rows)
                     current, rows = (cluster, i, j), []
                 rows.append(row)
             yield send(out)
-        if rows:
-            yield send(list(judge(current[1], current[2], rows)))
+        yield send(list(judge(rows)))
 
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = members.join(blocks, "cluster").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "fp", "hashes")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * block)).cast("int").alias("blocks"))
     keys = ["cluster", "i", "j"]
+    rows = paired(members.join(blocks, "cluster")).select(*keys, "fp", "hashes")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
@@ -354,7 +376,12 @@ def classes(docs: DataFrame) -> DataFrame:
     signed, counts = signatures(docs)
     nodes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     nodes, _ = written(nodes, "classes")
-    met, _ = written(shared(prefixes(docs.where("doc_id is not null"), counts)), "tiles")
+    rows, rows_path = written(prefixes(docs.where("doc_id is not null"), counts), "prefixes")
+    # A tile that is large by itself goes past the task that sorts out the small ones.
+    hot, hot_path = written(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE).select("key"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    met, _ = written(shared(rows.join(hot, "key", "left_anti")).unionByName(rows.join(hot, "key", "left_semi").distinct().select(F.lit(False).alias("pair"), "key", "n", "fp")), "tiles")
+    dropped(docs.sparkSession, rows_path, hot_path)
     tiles = met.where("not pair").select("key", "fp", "n").join(nodes.select("fp", "bits"), "fp")
     pairs = met.where("pair").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct()
     clusters, _ = written(components(possible(pairs, nodes).union(forest(tiles))).withColumnsRenamed({"node": "fp", "component": "cluster"}), "clusters")

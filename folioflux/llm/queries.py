@@ -103,6 +103,14 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.classes(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op9_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(node, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.y, r.c FROM r JOIN p ON p.x = r.node WHERE r.c < p.y),
+n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM (SELECT node AS vec_id, min(c) AS c FROM r GROUP BY node) LEFT JOIN n ON x = vec_id"""
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     shares = [F.round(c, 6).alias(c) for c in ("overlap", "question_overlap", "answer_overlap")]
