@@ -1,4 +1,4 @@
-"""Text, hash and vector expressions as Columns; Python runs only where text isn't ASCII and needs NFC."""
+"""Text, hash and vector expressions as Columns, on the JVM side; only the hashing embedder is Python."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Whitespace as Python's str methods see it, without and with the line feed.
 BLANK = r"[ \t\x0B\f\r\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -20,19 +20,25 @@ CREDENTIAL = r"(?i)\b(authorization|api[_-]?key|access[_-]?token|password|secret
 #: Wordings of a spent daily allowance.
 DAILY = r"(?i)per day|daily|\bRPD\b|\bTPD\b|PerDay"
 DOC_ID, CHUNK_ID = 32, 16
+_WORD = re.compile(r"\w+")
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def _nfc(text: Column) -> Column:
+    """Unicode NFC by ICU, which Spark ships for its collations."""
+    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
 
 
 def normalize_text(text: Column) -> Column:
-    """Line ends as LF, then Unicode NFC."""
+    """Line ends as LF, then Unicode NFC. Texts that hold nothing from U+0300 on are in that form already, and are passed over."""
     lines = F.regexp_replace(text, "\r\n?", "\n")
     return F.when(lines.rlike(r"[^\x00-\x{2FF}]"), _nfc(lines)).otherwise(lines)
 
 
+def plain_words(text: str | None) -> list[str]:
+    """words() of a Python string."""
+    return _WORD.findall(unicodedata.normalize("NFC", text or "").lower())
+
+
 def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(normalize_text(text), 256), 1, DOC_ID)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import html as H
 from folioflux.functions import text as T
-from folioflux.operators import chunking, context, evaluation, filters, retrieval
+from folioflux.operators import chunking, context, evaluation, filters, retrieval, transforms
 from folioflux.plans import generation
 from folioflux.sources import store
 
@@ -41,12 +41,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.fixed_chunks(documents(spark, d))
 
 
-def head(text: str, n: int = 8):
-    return F.array_join(F.slice(T.split_blanks(F.col(text)), 1, n), " ")
-
-
-def questions(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (head("text") if short else F.col("text")).alias("text"))
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 CHUNKS = """c0 AS (SELECT doc_id::VARCHAR AS doc_id, text AS whole, length(text) AS n, unnest(range(0, 1 + ceil(greatest(0, length(text) - 512) / 256.0)::BIGINT)) AS ordinal
@@ -55,9 +51,7 @@ c1 AS (SELECT doc_id, ordinal, ordinal * 256 AS start_char, least(n, ordinal * 2
 chunk AS (SELECT substr(sha256(doc_id || chr(0) || ordinal || chr(0) || nfc_normalize(text)), 1, 16) AS chunk_id, doc_id, ordinal, text, start_char, end_char, (length(text) + 3) // 4 AS token_count FROM c1)"""
 WORDS = r"regexp_extract_all(lower(nfc_normalize({})), '[\p{{L}}\p{{N}}_]+')"
 SPLIT = r"list_filter(string_split_regex({}, '[\s\x0B\x1C-\x1F\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '')"
-SHORT = "array_to_string((" + SPLIT.format("text") + ")[1:8], ' ')"
-LONG_Q = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
-SHORT_Q = f"q AS (SELECT item_id AS query_id, {SHORT} AS text FROM benchmark)"
+QUESTIONS = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
 def bm25_sql(name: str, k: int, q: str = "q", pool: str = "chunk", counted: str | None = None, idf: str = "ln((n - df + 0.5) / (df + 0.5) + 1)") -> str:
@@ -111,12 +105,12 @@ def token_count_heuristic(spark, d):
     return table(spark, d, "documents").select("doc_id", T.heuristic_tokens(F.col("text")).alias("tokens"))
 
 
-@query(rf"""SELECT doc_id, array_to_string({WORDS.format('text')}[1:50], ' ') AS words,
+@query(rf"""SELECT doc_id, md5(array_to_string({WORDS.format('text')}, ' ')) AS words,
   array_to_string(list_transform(list_sort(list_distinct({WORDS.format('text')})), lambda t: '"' || t || '"'), ' OR ') AS terms FROM documents""")
 def match_terms(spark, d):
     terms = F.array_sort(F.array_distinct(T.words(F.col("text"))))
     quoted = F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 50), " ").alias("words"), quoted.alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(T.words(F.col("text")), " ")).alias("words"), quoted.alias("terms"))
 
 
 @query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ') AS words
@@ -290,7 +284,7 @@ def hash_dense_topk(spark, d):
     return ranked(retrieval.dense(q, v, 5))
 
 
-@query(f"WITH {CHUNKS}, {LONG_Q}, {bm25_sql('r', 10)} {RANKED} r")
+@query(f"WITH {CHUNKS}, {QUESTIONS}, {bm25_sql('r', 10)} {RANKED} r")
 def bm25_topk(spark, d):
     return ranked(retrieval.bm25(questions(spark, d), chunks(spark, d), 10))
 
@@ -303,47 +297,71 @@ def english(spark, d) -> DataFrame:
     return chunks(spark, d).join(docs, "doc_id", "left_semi").select("chunk_id")
 
 
-@query(f"WITH {CHUNKS}, {ENGLISH}, {SHORT_Q}, {bm25_sql('r', 5, pool='pool')} {RANKED} r")
+@query(f"WITH {CHUNKS}, {ENGLISH}, {QUESTIONS}, {bm25_sql('r', 5, pool='pool')} {RANKED} r")
 def bm25_filtered_local_stats(spark, d):
-    return ranked(retrieval.bm25(questions(spark, d, True), chunks(spark, d), 5, english(spark, d)))
+    return ranked(retrieval.bm25(questions(spark, d), chunks(spark, d), 5, english(spark, d)))
 
 
-@query(f"WITH {CHUNKS}, {ENGLISH}, {SHORT_Q}, {bm25_sql('r', 5, pool='pool', counted='chunk', idf='greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))')} {RANKED} r")
+@query(f"WITH {CHUNKS}, {ENGLISH}, {QUESTIONS}, {bm25_sql('r', 5, pool='pool', counted='chunk', idf='greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))')} {RANKED} r")
 def bm25_robertson_global_stats(spark, d):
-    return ranked(retrieval.bm25(questions(spark, d, True), chunks(spark, d), 5, english(spark, d), "robertson", "corpus"))
+    return ranked(retrieval.bm25(questions(spark, d), chunks(spark, d), 5, english(spark, d), "robertson", "corpus"))
 
 
-@query(f"WITH {CHUNKS}, {LONG_Q}, {SHORT_Q.replace('q AS', 'q2 AS', 1)}, {bm25_sql('a', 20)}, {bm25_sql('b', 20, q='q2', idf='greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))')}, {rrf_sql('r', ['a', 'b'], 10)} {RANKED} r")
-def rrf_hybrid(spark, d):
-    c = chunks(spark, d)
-    short = questions(spark, d, True)
-    found = retrieval.hybrid(questions(spark, d), [lambda q, k: retrieval.bm25(q, c, k), lambda q, k: retrieval.bm25(short, c, k, idf="robertson")], 10, 20)
-    return ranked(found)
+def embedded(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, T.hash_embedding(F.col("text"), 64).alias("vector"))
+
+
+HASHED = f"""{hashed_sql('hq', '(SELECT query_id AS id, text FROM q)')}, {hashed_sql('hc', '(SELECT chunk_id AS id, text FROM chunk)')},
+hs AS (SELECT q.query_id, c.chunk_id, round(coalesce(s, 0), 9) AS score FROM q CROSS JOIN chunk c LEFT JOIN (SELECT hq.id AS query_id, hc.id AS chunk_id, sum(hq.x * hc.x) AS s FROM hq JOIN hc USING (slot) GROUP BY ALL) x
+  ON x.query_id = q.query_id AND x.chunk_id = c.chunk_id),
+vec AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM hs) WHERE rank <= 20)"""
 
 
-TAIL = "array_to_string(list_reverse((list_reverse(" + SPLIT.format("text") + "))[1:8]), ' ')"
+@query(f"WITH {CHUNKS}, {QUESTIONS}, {HASHED}, {bm25_sql('lex', 20)}, {rrf_sql('r', ['vec', 'lex'], 10)} {RANKED} r")
+def rrf_hybrid(spark, d):
+    """Vectors and words: a dense ranking of hashed embeddings fused with BM25."""
+    c = chunks(spark, d).select("chunk_id", "text")
+    legs = [lambda q, k: retrieval.dense(embedded(q, "query_id"), embedded(c, "chunk_id"), k), lambda q, k: retrieval.bm25(q, c, k)]
+    return ranked(retrieval.hybrid(questions(spark, d), legs, 10, 20))
 
 
 @query(
-    f"WITH {CHUNKS}, {SHORT_Q}, p AS (SELECT item_id AS query_id, {TAIL} AS text FROM benchmark WHERE item_id % 3 > 0), {bm25_sql('a', 20)}, {bm25_sql('b', 20, q='p')}, "
-    f"a2 AS (SELECT * FROM a WHERE query_id % 3 > 0), {rrf_sql('r', ['a2', 'b'], 10)} {RANKED} r UNION ALL {RANKED} a WHERE query_id % 3 = 0 AND rank <= 10"
+    f"""WITH {CHUNKS}, {QUESTIONS}, x AS (SELECT query_id, trim(unnest(string_split_regex(text, '[.!?]+'))) AS text FROM q),
+p AS (SELECT query_id, text FROM q UNION SELECT query_id, x.text FROM x JOIN q USING (query_id) WHERE x.text <> '' AND x.text <> q.text),
+v AS (SELECT row_number() OVER (ORDER BY query_id, text) AS query_id, query_id AS own, text FROM p), {bm25_sql('b', 20, q='v')},
+b2 AS (SELECT own AS query_id, chunk_id, rank FROM b JOIN v USING (query_id)), many AS (SELECT query_id FROM p GROUP BY query_id HAVING count(*) > 1),
+m AS (SELECT * FROM b2 WHERE query_id IN (SELECT query_id FROM many)), {rrf_sql('r', ['m'], 10)}
+{RANKED} r UNION ALL SELECT own, rank, chunk_id, round(score, 6) FROM b JOIN v USING (query_id) WHERE own NOT IN (SELECT query_id FROM many) AND rank <= 10"""
 )
 def rrf_multi_query(spark, d):
-    words = T.split_blanks(F.col("text"))
-    tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 7), F.lit(8)), " ")
-    extra = questions(spark, d).where("query_id % 3 > 0").select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("position"), tail.alias("text")), F.struct(F.lit(1).alias("position"), head("text").alias("text")))).alias("x"))
-    extra = extra.select("query_id", "x.position", "x.text")
-    return ranked(retrieval.multi_query(questions(spark, d, True), extra, lambda q, k: retrieval.bm25(q, chunks(spark, d), k), 10, 20))
+    """Each question and its sentences as further phrasings."""
+    q, c = questions(spark, d), chunks(spark, d)
+    return ranked(retrieval.multi_query(q, transforms.sentences(q), lambda x, k: retrieval.bm25(x, c, k), 10, 20))
 
 
-@query()
+@query(f"WITH {CHUNKS}, {QUESTIONS}, {bm25_sql('r', 10)} {RANKED} r")
+def bm25_index_topk(spark, d):
+    """BM25 over the inverted index instead of the texts."""
+    return ranked(retrieval.bm25_indexed(questions(spark, d), retrieval.postings(chunks(spark, d)), 10))
+
+
+@query(
+    f"""WITH RECURSIVE {DENSE.format(where='', k=20)},
+rel AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS rel FROM dense WINDOW w AS (PARTITION BY query_id)),
+pool AS (SELECT query_id, list({{'c': chunk_id, 'r': rel, 'v': embedding::DOUBLE[]}} ORDER BY chunk_id) AS rest FROM rel JOIN embeddings ON vec_id = chunk_id GROUP BY query_id),
+pick(query_id, rank, chosen, value, taken, rest) AS (SELECT query_id, 0, NULL::BIGINT, NULL::DOUBLE, []::DOUBLE[][], rest FROM pool
+  UNION ALL SELECT query_id, rank + 1, best.c, best.s, list_append(taken, best.v), list_filter(rest, lambda x: x.c <> best.c) FROM (SELECT *, list_reduce(list_transform(rest,
+    lambda x: {{'c': x.c, 'v': x.v, 's': 0.5 * x.r - 0.5 * coalesce(list_max(list_transform(taken, lambda t: list_inner_product(t, x.v))), 0.0)}}),
+    lambda a, b: CASE WHEN b.s > a.s THEN b ELSE a END) AS best FROM pick WHERE rank < 5 AND len(rest) > 0))
+SELECT query_id, rank, chosen AS chunk_id, round(value, 6) AS score FROM pick WHERE rank > 0"""
+)
 def mmr_topk(spark, d):
     pool = retrieval.dense(vector_queries(spark, d), vectors(spark, d), 20)
     return ranked(retrieval.mmr(pool, vectors(spark, d), 5, 0.5))
 
 
 @query(
-    f"""WITH {CHUNKS}, {SHORT_Q}, {bm25_sql('r', 3)},
+    f"""WITH {CHUNKS}, {QUESTIONS}, {bm25_sql('r', 3)},
 w AS (SELECT chunk_id, doc_id, ordinal, text, count(*) OVER near AS n, min(start_char) OVER near AS s, max(end_char) OVER near AS e, sum(token_count) OVER near AS tokens FROM chunk
   WINDOW near AS (PARTITION BY doc_id ORDER BY ordinal RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 x AS (SELECT w.*, CASE WHEN n = 1 THEN w.text ELSE substr(d.text, s + 1, e - s) END AS wide FROM w JOIN documents d ON d.doc_id::VARCHAR = w.doc_id)
@@ -352,11 +370,11 @@ SELECT query_id, rank, CASE WHEN n = 1 THEN chunk_id ELSE substr(sha256(doc_id |
 )
 def parent_expand(spark, d):
     docs, c = documents(spark, d), chunks(spark, d)
-    found = retrieval.parent_expand(retrieval.bm25(questions(spark, d, True), c, 3), c, docs, 1)
+    found = retrieval.parent_expand(retrieval.bm25(questions(spark, d), c, 3), c, docs, 1)
     return found.select("query_id", "rank", "parent_id", "doc_id", "start_char", "end_char", "token_count", F.round("score", 6).alias("score"))
 
 
-RERANKED = f"""{CHUNKS}, {SHORT_Q}, {bm25_sql('r', 10)},
+RERANKED = f"""{CHUNKS}, {QUESTIONS}, {bm25_sql('r', 10)},
 s AS (SELECT r.query_id, r.rank, r.chunk_id, CASE WHEN len({WORDS.format('q.text')}) = 0 THEN 0.0 ELSE
   len(list_intersect(list_distinct({WORDS.format('q.text')}), list_distinct({WORDS.format('chunk.text')})))::DOUBLE / len(list_distinct({WORDS.format('q.text')})) END AS score
   FROM r JOIN q USING (query_id) JOIN chunk USING (chunk_id)),
@@ -365,21 +383,21 @@ rr AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id
 
 @query(f"WITH {RERANKED} {RANKED} rr")
 def rerank_stable(spark, d):
-    c, q = chunks(spark, d), questions(spark, d, True)
+    c, q = chunks(spark, d), questions(spark, d)
     found = retrieval.bm25(q, c, 10)
     return ranked(retrieval.rerank(found, retrieval.lexical_scores(found, q, c), 5))
 
 
-@query(f"WITH {CHUNKS}, {SHORT_Q}, {bm25_sql('r', 3)} SELECT query_id, rank, chunk_id, doc_id, ordinal, md5(text) AS text_md5 FROM r JOIN chunk USING (chunk_id)")
+@query(f"WITH {CHUNKS}, {QUESTIONS}, {bm25_sql('r', 3)} SELECT query_id, rank, chunk_id, doc_id, ordinal, md5(text) AS text_md5 FROM r JOIN chunk USING (chunk_id)")
 def hydrate(spark, d):
     c = chunks(spark, d)
-    rows = retrieval.hydrate(retrieval.bm25(questions(spark, d, True), c, 3), c)
+    rows = retrieval.hydrate(retrieval.bm25(questions(spark, d), c, 3), c)
     return rows.select("query_id", "rank", "chunk_id", "doc_id", "ordinal", F.md5("text").alias("text_md5"))
 
 
 # ---- context, prompts, answers --------------------------------------------------------------
 
-BLOCKS = f"""{CHUNKS}, {SHORT_Q}, {bm25_sql('r', 8)},
+BLOCKS = f"""{CHUNKS}, {QUESTIONS}, {bm25_sql('r', 8)},
 k0 AS (SELECT query_id, rank, chunk_id, text, trim(regexp_replace(nfc_normalize(text), '^\\s+|\\s+$', '', 'g')) AS norm FROM r JOIN chunk USING (chunk_id)),
 k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, norm ORDER BY rank) AS copy FROM k0 WHERE norm <> ''),
 k2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS label FROM k1 WHERE copy = 1),
@@ -391,7 +409,7 @@ blocks AS (SELECT query_id, label, chunk_id, block, (length(block) + 3) // 4 AS
 
 def blocks(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    return context.context_blocks(retrieval.hydrate(retrieval.bm25(questions(spark, d, True), c, 8), c.select("chunk_id", "text")), 600)
+    return context.context_blocks(retrieval.hydrate(retrieval.bm25(questions(spark, d), c, 8), c.select("chunk_id", "text")), 600)
 
 
 @query(f"WITH {BLOCKS} SELECT query_id, label, chunk_id, md5(block) AS block_md5, token_count, joined_tokens, truncated FROM blocks")
@@ -411,16 +429,16 @@ n AS (SELECT q.query_id, q.text, coalesce(ctx, '') AS ctx, substr(sha256(q.query
 SELECT query_id, nonce, md5('=== BEGIN UNTRUSTED CONTEXT ' || nonce || ' ===' || chr(10) || ctx || chr(10) || '=== END UNTRUSTED CONTEXT ' || nonce || ' ===' || chr(10) || chr(10) || 'Question: ' || text) AS user_md5 FROM n"""
 )
 def prompt_text(spark, d):
-    found = context.prompts(questions(spark, d, True), context.context_texts(blocks(spark, d)), F.col("query_id"))
+    found = context.prompts(questions(spark, d), context.context_texts(blocks(spark, d)), F.col("query_id"))
     return found.select("query_id", "nonce", F.md5("user").alias("user_md5"))
 
 
 @query(
-    f"""WITH {CHUNKS}, {SHORT_Q}, {bm25_sql('r', 5)}, a AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN score END) AS top, avg(CASE WHEN rank > 1 THEN score END) AS rest FROM r GROUP BY query_id)
+    f"""WITH {CHUNKS}, {QUESTIONS}, {bm25_sql('r', 5)}, a AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN score END) AS top, avg(CASE WHEN rank > 1 THEN score END) AS rest FROM r GROUP BY query_id)
 SELECT q.query_id, coalesce(n, 0) < 2 OR coalesce(top < 12, false) OR coalesce(n >= 2 AND top - rest < 1.5, false) AS insufficient FROM q LEFT JOIN a USING (query_id)"""
 )
 def abstain_flags(spark, d):
-    q = questions(spark, d, True)
+    q = questions(spark, d)
     return context.insufficient(q, retrieval.bm25(q, chunks(spark, d), 5), 2, 1.5, 12.0)
 
 
@@ -429,7 +447,7 @@ ANSWERS = "ans AS (SELECT query_id, 'As [1] says, see [2][' || (query_id % 9) ||
 
 def answers(spark, d) -> DataFrame:
     text = F.concat(F.lit("As [1] says, see [2]["), (F.col("query_id") % 9).cast("string"), F.lit("] and 【3】, not [1,2] or [0] but [02]."))
-    return questions(spark, d, True).select("query_id", F.when(F.col("query_id") % 4 > 0, text).otherwise("Nothing.").alias("answer"))
+    return questions(spark, d).select("query_id", F.when(F.col("query_id") % 4 > 0, text).otherwise("Nothing.").alias("answer"))
 
 
 MARKED = r"marks AS (SELECT query_id, unnest(regexp_extract_all(answer, '[\[【](\d+)[\]】]', 1))::BIGINT AS label FROM ans)"
@@ -451,7 +469,7 @@ def citation_report(spark, d):
 
 @query()
 def generated_answers(spark, d):
-    found = context.prompts(questions(spark, d, True), context.context_texts(blocks(spark, d)), F.col("query_id"))
+    found = context.prompts(questions(spark, d), context.context_texts(blocks(spark, d)), F.col("query_id"))
     return generation.answer(found, generation.ExtractiveGenerator)
 
 
@@ -484,11 +502,11 @@ def gold(spark, d) -> DataFrame:
 
 def gold_hits(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    found = retrieval.bm25(questions(spark, d, True), c, 10)
+    found = retrieval.bm25(questions(spark, d), c, 10)
     return found.join(c.select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id")
 
 
-EVAL = f"""{CHUNKS}, {SHORT_Q}, {bm25_sql('r', 10)}, {GOLD},
+EVAL = f"""{CHUNKS}, {QUESTIONS}, {bm25_sql('r', 10)}, {GOLD},
 cov AS (SELECT DISTINCT r.query_id, r.rank, gold_idx FROM r JOIN chunk USING (chunk_id) JOIN gold ON gold.query_id = r.query_id AND gold.doc_id = chunk.doc_id AND chunk.start_char < gold.e AND gold.s < chunk.end_char),
 fst AS (SELECT query_id, gold_idx, min(rank) AS rank FROM cov GROUP BY ALL),
 sz AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id),
@@ -512,7 +530,7 @@ SUMMARY = f"""{EVAL}, {FLAGS}, sm AS (SELECT 'mrr' AS metric, avg(mrr) AS value
 
 
 def summary(spark, d) -> DataFrame:
-    q = questions(spark, d, True)
+    q = questions(spark, d)
     flags = context.insufficient(q, gold_hits(spark, d), 1, 0.0, 14.0)
     return evaluation.evaluate_retrieval(q, gold_hits(spark, d), gold(spark, d), flags, (5,))
 
