@@ -165,14 +165,17 @@ def chunk_markdown(spark, d):
     return chunking.markdown_chunks(documents(spark, d).withColumn("text", text))
 
 
-@query(r"""WITH p AS (SELECT doc_id, regexp_replace(text, '\n', chr(12), 'g') AS t FROM documents),
-b AS (SELECT doc_id, 'Head' || chr(10) || regexp_replace(t, chr(12), chr(10) || 'Foot' || chr(12) || 'Head' || chr(10), 'g') || chr(10) || 'Foot' AS t, len(string_split(t, chr(12))) AS pages, t AS bare FROM p)
-SELECT doc_id, pages >= 3 AS stripped FROM b""")
+@query(r"""WITH b AS (SELECT doc_id, string_split('Head' || chr(10) || replace(text, chr(10), chr(10) || 'Foot' || chr(12) || 'Head' || chr(10)) || chr(10) || 'Foot', chr(12)) AS pages FROM documents),
+l AS (SELECT doc_id, p, i, line, row_number() OVER w AS a, count(*) OVER (PARTITION BY doc_id, p) AS n FROM (SELECT doc_id, p, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (
+  SELECT doc_id, unnest(range(1, len(pages) + 1)) AS p, string_split(unnest(pages), chr(10)) AS ls FROM b)) WHERE trim(line) <> '' WINDOW w AS (PARTITION BY doc_id, p ORDER BY i)),
+e AS (SELECT doc_id, trim(line) AS line FROM (SELECT DISTINCT doc_id, p, trim(line) AS line FROM l WHERE a <= 2 OR a > n - 2) GROUP BY doc_id, trim(line) HAVING count(*) >= 3),
+k AS (SELECT doc_id, p, string_agg(line, chr(10) ORDER BY i) AS page FROM l WHERE NOT EXISTS (FROM e WHERE e.doc_id = l.doc_id AND e.line = trim(l.line)) GROUP BY doc_id, p)
+SELECT b.doc_id, md5(string_agg(coalesce(page, ''), chr(12) ORDER BY x.p)) AS text_md5 FROM b, unnest(range(1, len(pages) + 1)) AS x(p) LEFT JOIN k ON k.doc_id = b.doc_id AND k.p = x.p GROUP BY b.doc_id""")
 def boilerplate_strip(spark, d):
+    """Each line of a document as a page between a header and a footer, which repeat from three pages on."""
     pages = F.regexp_replace("text", "\n", "\nFoot\fHead\n")
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Head\n"), pages, F.lit("\nFoot")).alias("text"))
-    found = chunking.strip_boilerplate(docs)
-    return found.select("doc_id", (~F.col("text").rlike(r"(?m)^(Head|Foot)$")).alias("stripped"))
+    return chunking.strip_boilerplate(docs).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query()

@@ -66,11 +66,12 @@ def test_chunk_invariants(spark):
             chunking.check_budget(*bad)
 
 
-def test_boilerplate():
+def test_boilerplate(spark):
     page = "Top\nbody {}\nFoot"
-    text = "\f".join(page.format(i) for i in range(3))
-    assert chunking.without_boilerplate(text) == "body 0\fbody 1\fbody 2"
-    assert chunking.without_boilerplate("Top\nx\fTop\ny") == "Top\nx\fTop\ny"
+    texts = ["\f".join(page.format(i) for i in range(3)), "Top\nx\fTop\ny", None, "", "a\r\n  note \x0bb\n\n", "\f".join(f" T \n\nr{i}\x85T\n\nq\n" for i in range(4))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in chunking.strip_boilerplate(frame, ("note",)).collect()}
+    assert got == {0: "body 0\fbody 1\fbody 2", 1: "Top\nx\fTop\ny", 2: None, 3: "", 4: "a\nb", 5: "r0\fr1\fr2\fr3"}
 
 
 META = [({"lang": "en", "year": 2020, "a.b": "x"}, {"lang": "fr"}), ({"lang": "en", "year": None}, {"year": 1.5}), ({"draft": True}, {}), ({}, {"lang": None, "n": "5"})]
@@ -222,22 +223,68 @@ def test_loaders(spark, tmp_path):
     assert unicodedata.normalize("NFC", got["a.txt"][1]) == "é"
 
 
-def test_generation_control():
+def test_allowance():
     clock = [0.0]
-    limiter = generation.RateLimiter(rpm=2, clock=lambda: clock[0], sleep=lambda s: clock.__setitem__(0, clock[0] + s))
-    assert [limiter.acquire() for _ in range(3)] == [0, 0, pytest.approx(30)]
-    calls, waits = [RateLimitError("slow", retry_after=3.0), TransientError("x")], []
-
-    def call():
-        if calls:
-            raise calls.pop(0)
-        return "ok"
-
-    assert generation.retried(call, sleep=waits.append, rng=random.Random(1)) == "ok" and waits[0] == 3.0 and len(waits) == 2
-    chain = generation.FallbackGenerator([generation.ScriptedGenerator([TransientError("a")]), generation.ScriptedGenerator(["b"])])
-    assert chain.generate("", "").text == "b"
+    limits = generation.Allowance(rpm=2, tpm=100, clock=lambda: clock[0])
+    assert [limits.book(10), limits.book(10)] == [0, 0] and limits.book(10) == pytest.approx(30)
+    clock[0] = 30.0
+    assert limits.book(10) == 0
+    with pytest.raises(ConfigError):
+        limits.book(101)
+    clock[0] = 1000.0
+    limits.close(5)
+    assert limits.book(100) == pytest.approx(5)
+    clock[0] = 1005.0
+    assert limits.book(100) == 0 and limits.book(50) == pytest.approx(30)
+    with pytest.raises(ConfigError):
+        generation.Allowance(rpm=0)
+
+
+class Service:
+    context_window, max_output_tokens = 100, 10
+
+    def __init__(self, script):
+        self.script, self.calls = script, []
+
+    def generate(self, system, user):
+        self.calls.append(user)
+        step = self.script.get(user, [])
+        if step and (e := step.pop(0)):
+            raise e
+        return generation.Generation(user.upper(), generation.Usage("s", "m"))
+
+
+def test_batches_of_requests():
+    clock, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        clock[0] += s
+
+    how = {"clock": lambda: clock[0], "sleep": sleep, "rng": random.Random(1)}
+    service = Service({"a": [RateLimitError("slow", retry_after=3.0), TransientError("x")], "b": [AuthError("no")], "d": [TransientError("x")] * 9})
+    got = generation.asked(service, [("", x) for x in "abcd"], generation.Retries(2, 0.5, 1.0), **how)
+    assert [got[0].text, got[2].text] == ["A", "C"] and isinstance(got[1], AuthError) and isinstance(got[3], TransientError)
+    assert service.calls[:4] == list("abcd") and service.calls.count("d") == 3 and service.calls.count("b") == 1 and clock[0] >= 3.0
+    limited = generation.asked(Service({}), [("", "x")] * 3, allowance=generation.Allowance(rpm=2, clock=lambda: clock[0]), **how)
+    assert [g.text for g in limited] == ["X"] * 3 and sum(slept) >= 30
+    assert all(0 <= p <= c for p, c in zip(generation.Retries(4, 0.5, 1.5).pauses(random.Random(2)), (0.5, 1.0, 1.5, 1.5), strict=True))
+    for bad in ((-1, 1, 1), (1, 0, 1)):
+        with pytest.raises(ConfigError):
+            generation.Retries(*bad)
+
+
+def test_chain():
+    none = generation.Retries(0)
+    chain = generation.Chain(Service({"a": [TransientError("x")], "b": [AuthError("no")], "c": [TransientError("x")]}), Service({"c": [RateLimitError("y")]}))
+    got = chain.asked([("", x) for x in "abcd"], retries=none)
+    assert [g.text for g in (got[0], got[3])] == ["A", "D"] and isinstance(got[1], AuthError) and isinstance(got[2], RateLimitError)
+    assert chain.generators[1].calls == ["a", "c"] and chain.context_window == 100
     with pytest.raises(AuthError):
-        generation.FallbackGenerator([generation.ScriptedGenerator([AuthError("no")]), generation.ScriptedGenerator(["b"])]).generate("", "")
+        generation.Chain(generation.ScriptedGenerator([AuthError("no")]), generation.ScriptedGenerator(["b"])).generate("", "")
+    assert generation.Chain(generation.ScriptedGenerator([TransientError("a")]), generation.ScriptedGenerator(["b"])).generate("", "").text == "b"
+    with pytest.raises(ConfigError):
+        generation.Chain()
     assert "redacted" in str(FolioError("x", api_key="k1")) and "k1" not in str(FolioError("x", api_key="k1"))
 
 
