@@ -154,15 +154,41 @@ def chunk_fixed(spark, d):
     return chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char", "token_count", "chunk_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+def packed_sql(source: str) -> str:
+    """CTEs ending in packed(doc_id, sec, path, ordinal, start_char, end_char, body): pieces of source(doc_id, sec, path, base, body) by ever finer separators, packed into chunks of 128 tokens with 64 of overlap."""
+    levels, before = [], f"l0 AS (SELECT doc_id, sec, path, base AS pos, body, (length(body) + 3) // 4 <= 128 AS done FROM {source} WHERE body <> '')"
+    for k, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "'. '", "' '"), 1):
+        levels.append(f"""p{k} AS (SELECT doc_id, sec, path, pos, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS body FROM (SELECT *, list_filter(list_transform(string_split(body, {sep}), lambda s, i: CASE WHEN i < len(string_split(body, {sep})) THEN s || {sep} ELSE s END), lambda s: s <> '') AS x FROM l{k - 1} WHERE NOT done)),
+l{k} AS (SELECT doc_id, sec, path, (pos + coalesce(sum(length(body)) OVER (PARTITION BY doc_id, sec, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos, body, (length(body) + 3) // 4 <= 128 AS done FROM p{k})""")
+    every = " UNION ALL ".join(f"SELECT doc_id, sec, path, pos, length(body) AS n FROM l{k} WHERE done" for k in range(5))
+    return f"""{before}, {", ".join(levels)},
+hard AS (SELECT doc_id, sec, path, pos + 512 * i AS pos, least(512, length(body) - 512 * i) AS n FROM (SELECT *, unnest(range(0, (length(body) + 511) // 512)) AS i FROM l4 WHERE NOT done)),
+atoms AS (SELECT doc_id, sec, path, list(pos ORDER BY pos) AS starts, list(pos + n ORDER BY pos) AS ends FROM ({every} UNION ALL SELECT * FROM hard) GROUP BY doc_id, sec, path),
+step(doc_id, sec, head, tail) AS (SELECT doc_id, sec, 1::BIGINT, greatest(1, len(list_filter(ends, lambda e: (e - starts[1] + 3) // 4 <= 128)))::BIGINT FROM atoms
+  UNION ALL SELECT n.doc_id, n.sec, n.head, greatest(n.head, len(list_filter(a.ends, lambda e: (e - a.starts[n.head] + 3) // 4 <= 128)))::BIGINT FROM (
+    SELECT s.doc_id, s.sec, s.tail + 1 - len(list_filter(a.starts[s.head + 1:s.tail], lambda x: x >= a.ends[s.tail] - round_even((a.ends[s.tail] - a.starts[s.head]) * 64.0::DOUBLE / ((a.ends[s.tail] - a.starts[s.head] + 3) // 4), 0))) AS head
+    FROM step s JOIN atoms a ON a.doc_id = s.doc_id AND a.sec = s.sec WHERE s.tail < len(a.ends)) n JOIN atoms a ON a.doc_id = n.doc_id AND a.sec = n.sec),
+packed AS (SELECT s.doc_id, s.sec, a.path, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.sec, s.head) - 1 AS ordinal, a.starts[s.head] AS start_char, a.ends[s.tail] AS end_char FROM step s JOIN atoms a ON a.doc_id = s.doc_id AND a.sec = s.sec)"""
+
+
+CHUNKED = "substr(sha256(p.doc_id || chr(0) || ordinal || chr(0) || nfc_normalize(substr(whole, start_char + 1, end_char - start_char))), 1, 16) AS chunk_id, p.doc_id, ordinal, start_char, end_char, (end_char - start_char + 3) // 4 AS token_count"
+
+
+@query(f"WITH RECURSIVE src AS (SELECT doc_id::VARCHAR AS doc_id, 0 AS sec, '' AS path, 0 AS base, text AS body FROM documents), {packed_sql('src')} SELECT {CHUNKED} FROM packed p JOIN (SELECT doc_id::VARCHAR AS doc_id, text AS whole FROM documents) d ON d.doc_id = p.doc_id")
 def chunk_recursive(spark, d):
-    return chunking.recursive_chunks(documents(spark, d))
+    return chunking.recursive_chunks(documents(spark, d)).drop("text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE made AS (SELECT doc_id::VARCHAR AS doc_id, replace('# Top' || chr(10) || text, chr(10), chr(10) || chr(10) || '## Part' || chr(10)) AS whole FROM documents),
+cut AS (SELECT doc_id, whole, string_split(whole, '## Part' || chr(10)) AS x FROM made),
+sects AS (SELECT doc_id, whole, unnest(range(1, len(x) + 1)) AS sec, unnest(list_transform(x, lambda s, i: CASE WHEN i = 1 THEN s ELSE '## Part' || chr(10) || s END)) AS body FROM cut),
+src AS (SELECT doc_id, sec, CASE WHEN sec = 1 THEN 'Top' ELSE 'Top > Part' END AS path, (sum(length(body)) OVER (PARTITION BY doc_id ORDER BY sec) - length(body))::BIGINT AS base, body FROM sects), {packed_sql('src')}
+SELECT {CHUNKED}, path AS heading_path FROM packed p JOIN made d ON d.doc_id = p.doc_id"""
+)
 def chunk_markdown(spark, d):
     text = F.regexp_replace(F.concat(F.lit("# Top\n"), F.col("text")), r"\n", "\n\n## Part\n")
-    return chunking.markdown_chunks(documents(spark, d).withColumn("text", text))
+    return chunking.markdown_chunks(documents(spark, d).withColumn("text", text)).drop("text")
 
 
 @query(r"""WITH b AS (SELECT doc_id, string_split('Head' || chr(10) || replace(text, chr(10), chr(10) || 'Foot' || chr(12) || 'Head' || chr(10)) || chr(10) || 'Foot', chr(12)) AS pages FROM documents),
@@ -178,10 +204,20 @@ def boilerplate_strip(spark, d):
     return chunking.strip_boilerplate(docs).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+OPENED = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul"
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|<(script|style|noscript|template|svg|canvas)\b.*?</(script|style|noscript|template|svg|canvas)\s*>|<title[^>]*>.*?</title>', '', 'g'),
+  '(?i)<(?:{OPENED})\b[^>]*>', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title,
+  replace(replace(replace(replace(regexp_replace(t, '<[/a-zA-Z][^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' ') AS t FROM a),
+c AS (SELECT page_id, title, regexp_replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM b)
+SELECT page_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text_md5, title FROM c"""
+)
 def html_extract(spark, d):
     rows = table(spark, d, "pages").select("page_id", H.html_parts("html").alias("p"))
-    return rows.select("page_id", "p.text", "p.title")
+    return rows.select("page_id", F.md5("p.text").alias("text_md5"), "p.title")
 
 
 @query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
@@ -470,7 +506,17 @@ def citation_report(spark, d):
     return context.citation_report(answers(spark, d), blocks(spark, d)).withColumn("validity_rate", F.round("validity_rate", 6))
 
 
-@query()
+SAID = r"trim(regexp_extract(text, '(?s)^(.+?)(?:[.!?](?:\s|$)|\n|\z)', 1), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(
+    f"""WITH {BLOCKS}, x AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY label) AS ctx FROM blocks GROUP BY query_id),
+f AS (SELECT blocks.query_id, {SAID} || '. [1]' AS answer FROM blocks JOIN chunk USING (chunk_id) WHERE label = 1),
+n AS (SELECT q.query_id, answer, length('=== BEGIN UNTRUSTED CONTEXT  ===' || '=== END UNTRUSTED CONTEXT  ===' || 'Question: ') + 64 + 4 + length(ctx) + length(q.text) AS size FROM q LEFT JOIN x USING (query_id) LEFT JOIN f USING (query_id))
+SELECT query_id, coalesce(answer, 'I don''t have enough information in the provided documents to answer that.') AS answer, CASE WHEN answer IS NULL THEN 'none' ELSE 'extractive' END AS provider,
+  CASE WHEN answer IS NULL THEN 'none' ELSE 'first-sentence' END AS model, CASE WHEN answer IS NULL THEN 0 ELSE size // 4 END AS prompt_tokens, CASE WHEN answer IS NULL THEN 0 ELSE length(answer) // 4 END AS completion_tokens,
+  NULL::VARCHAR AS error, NULL::VARCHAR AS error_kind FROM n"""
+)
 def generated_answers(spark, d):
     found = context.prompts(questions(spark, d), context.context_texts(blocks(spark, d)), F.col("query_id"))
     return generation.answer(found, generation.ExtractiveGenerator)
@@ -564,7 +610,8 @@ def token_f1(spark, d):
     return evaluation.token_f1(pairs).select("pair_id.conv_id", "pair_id.turn", F.round("f1", 6).alias("f1"))
 
 
-@query("""SELECT item_id, item_id % 2 = 0 AS abstained FROM benchmark""")
+@query("""WITH a AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'I  don''t  have  enough  information  in  the  provided  documents  to  answer  that.' || chr(10) ELSE text END AS answer FROM benchmark)
+SELECT item_id, trim(regexp_replace(answer, '\\s+', ' ', 'g')) = 'I don''t have enough information in the provided documents to answer that.' AS abstained FROM a""")
 def answer_abstained(spark, d):
     text = F.when(F.col("item_id") % 2 == 0, F.lit(context.ABSTENTION.replace(" ", "  ") + "\n")).otherwise(F.col("text"))
     return table(spark, d, "benchmark").select("item_id", evaluation.abstained(text).alias("abstained"))
