@@ -14,9 +14,8 @@ from folioflux.errors import ConfigError, FolioError, ProviderError, StoreError
 from folioflux.functions import text as T
 from folioflux.operators import context, evaluation, retrieval
 from folioflux.operators.chunking import recursive_chunks
-from folioflux.plans import generation
+from folioflux.plans import rag
 from folioflux.sources import loaders
-from folioflux.sources.store import Store
 
 CODES = ((ConfigError, 3), (ProviderError, 4), (StoreError, 5), (FolioError, 1))
 
@@ -39,28 +38,22 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("query")
     s.add_argument("question")
     s.add_argument("-k", type=int, default=8)
+    s.add_argument("--mode", choices=("dense", "bm25", "hybrid"), default="hybrid")
+    s.add_argument("--filter", help="a metadata filter as JSON")
     s = sub.add_parser("eval")
     s.add_argument("items")
     s.add_argument("--thresholds")
+    s.add_argument("--mode", choices=("dense", "bm25", "hybrid"), default="hybrid")
     return p
 
 
-def _documents(spark: SparkSession, args) -> tuple:
-    rows = loaders.load_directory(spark, args.root, args.glob, args.ignore).persist()
-    counts = {r["status"]: r["count"] for r in rows.groupBy("status").count().collect()}
-    meta = F.parse_json(F.to_json(F.struct(F.col("mime").alias("doc.mime"), F.col("title").alias("doc.title"))))
-    return rows.where("status = 'loaded'").select("doc_id", "source_uri", "text", meta.alias("metadata")), counts
-
-
 def run(args, spark: SparkSession, settings: Settings) -> tuple[dict, int]:
-    store = Store(spark, settings.store, settings.model)
-    chunker = lambda d: recursive_chunks(d, settings.chunk_tokens, settings.chunk_overlap)
+    found = rag.build(spark, settings.store, model=settings.model, mode=getattr(args, "mode", "hybrid"), chunker=lambda d: recursive_chunks(d, settings.chunk_tokens, settings.chunk_overlap))
+    store = found.store
     if args.command == "ingest":
-        docs, counts = _documents(spark, args)
-        return {"files": counts} | store.ingest(docs, chunker), 0
+        return found.ingest_path(args.root, args.glob, tuple(args.ignore)), 0
     if args.command == "sync":
-        docs, counts = _documents(spark, args)
-        return {"files": counts} | store.sync(docs, args.apply, args.max_delete), 0
+        return found.sync_path(args.root, args.glob, tuple(args.ignore), args.apply, args.max_delete), 0
     if store.manifest() is None:
         raise StoreError("there is no index", store=settings.store)
     tables = store.tables()
@@ -69,24 +62,24 @@ def run(args, spark: SparkSession, settings: Settings) -> tuple[dict, int]:
         rows = tables["documents"].select("doc_id", "source_uri").join(n, "doc_id", "left").na.fill(0).orderBy("source_uri").limit(1000).collect()
         return {"model": store.manifest()["model"], "documents": [r.asDict() for r in rows]}, 0
     if args.command == "query":
-        q = spark.createDataFrame([(0, args.question)], "query_id int, text string")
-        hits = retrieval.bm25(q, tables["chunks"].select("chunk_id", "text"), args.k)
-        blocks = context.context_blocks(retrieval.hydrate(hits, tables["chunks"].select("chunk_id", "text")), 4000)
-        answered = generation.answer(context.prompts(q, context.context_texts(blocks)), generation.ExtractiveGenerator).first()
-        cited = context.citations(spark.createDataFrame([(0, answered["answer"])], "query_id int, answer string"), blocks, tables["chunks"])
-        return {"answer": answered["answer"], "citations": [r.asDict() for r in cited.orderBy("label").collect()]}, 0
+        found.k = retrieval.check_k(args.k)
+        got = found.query(spark.createDataFrame([(0, args.question)], "query_id int, text string"), json.loads(args.filter) if args.filter else None)
+        answered = got["answers"].first()
+        if answered["error"]:
+            raise ProviderError(answered["error"])
+        cited = got["citations"].select("label", "source_uri", "start_char", "end_char").orderBy("label").collect()
+        return {"answer": answered["answer"], "citations": [r.asDict() for r in cited]}, 0
     items = loaders.load_items(spark, args.items)
     gold = items.select("query_id", F.posexplode("gold").alias("gold_idx", "g")).select("query_id", "gold_idx", "g.source_uri", "g.quote")
     gold = evaluation.resolve_spans(gold, tables["documents"])
     q = items.select("query_id", "text")
-    hits = retrieval.bm25(q, tables["chunks"].select("chunk_id", "text"), 10)
-    placed = hits.join(tables["chunks"].select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id")
-    metrics = evaluation.evaluate_retrieval(q, placed, gold, context.insufficient(q, hits)).persist()
-    found = {r["metric"]: r["value"] for r in metrics.collect()}
+    hits = found.retrieve(q, k=10).persist()
+    metrics = evaluation.evaluate_retrieval(q, hits, gold, context.insufficient(q, hits)).persist()
+    values = {r["metric"]: r["value"] for r in metrics.collect()}
     failed = []
     if args.thresholds:
         failed = [r["metric"] for r in evaluation.gate(metrics, loaders.load_thresholds(spark, args.thresholds)).where("not passed").collect()]
-    return {"metrics": found, "below": failed}, 6 if failed else 0
+    return {"metrics": values, "below": failed}, 6 if failed else 0
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

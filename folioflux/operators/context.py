@@ -118,6 +118,19 @@ def citations(answers: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataF
     return found.join(chunks.select("chunk_id", "doc_id", "start_char", "end_char"), "chunk_id").select("query_id", "label", "chunk_id", "doc_id", "start_char", "end_char")
 
 
+def cited_sources(answers: DataFrame, blocks: DataFrame, places: DataFrame, documents: DataFrame) -> DataFrame:
+    """Resolved citations with their documents' source_uri: (query_id, label, chunk_id, doc_id, source_uri, start_char, end_char).
+
+    places (query_id, chunk_id, doc_id, start_char, end_char) says where a query's chunks stand; a citation whose document is gone fails the query.
+    """
+    marks = citation_markers(answers).distinct().join(blocks.select("query_id", F.col("label").cast("long").alias("label"), "chunk_id"), ["query_id", "label"])
+    rows = marks.join(places.dropDuplicates(["query_id", "chunk_id"]), ["query_id", "chunk_id"])
+    rows = rows.join(documents.select("doc_id", "source_uri"), "doc_id", "left")
+    gone = F.raise_error(F.concat(F.lit("no document for citation "), F.col("doc_id"))).cast("string")
+    uri = F.when(F.col("source_uri").isNull(), gone).otherwise(F.col("source_uri"))
+    return rows.select("query_id", "label", "chunk_id", "doc_id", uri.alias("source_uri"), "start_char", "end_char")
+
+
 def citation_report(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, total_markers, resolved_markers, n_citations, validity_rate) for every answer; the rate is 1 without markers."""
     known = blocks.select("query_id", F.col("label").cast("long").alias("label"), F.lit(1).alias("hit"))

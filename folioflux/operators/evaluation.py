@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.errors import EvaluationError
@@ -106,6 +106,65 @@ def citation_precision(cited: DataFrame, gold: DataFrame) -> DataFrame:
     return hits.join(good, ["query_id", "rank"], "left").groupBy("query_id").agg((F.count("good") / F.count("*")).alias("precision"))
 
 
+#: Failures in a row after which a run of answers counts as stopped.
+MAX_FAILURES = 10
+
+
+def stopped_at(answers: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
+    """One row (position, cause): where a run of answers (position, error_kind) stops; without a row it went through.
+
+    Spent allowances and refused credentials stop it at once, other failures when ``limit``
+    of them stand in a row. Runs of failures are found by the positions of failures less their
+    rank, among failures only, which are few.
+    """
+    failed = answers.where("error_kind is not null").select(F.col("position").cast("long").alias("position"), "error_kind")
+    fatal = failed.where(F.col("error_kind").isin("QuotaExhausted", "AuthError")).agg(F.min("position").alias("position")).withColumn("cause", F.lit("refused"))
+    runs = failed.withColumn("run", F.col("position") - F.row_number().over(Window.orderBy("position")))
+    runs = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("position").alias("first")).where(F.col("n") >= limit)
+    many = runs.agg((F.min("first") + limit - 1).alias("position")).withColumn("cause", F.lit("failures"))
+    first = fatal.unionByName(many).where("position is not null").agg(F.min(F.struct("position", "cause")).alias("x"))
+    return first.where("x is not null").select("x.position", "x.cause")
+
+
+def evaluate_answers(items: DataFrame, answers: DataFrame, reports: DataFrame, cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """(metric, value): means over answered items of a run, and how many there are.
+
+    items (query_id, reference), answers (query_id, answer, error_kind), reports (query_id,
+    validity_rate), cited (query_id, label, doc_id, start_char, end_char), gold (query_id, gold_idx,
+    doc_id, start_char, end_char). Items with gold are answerable: validity, precision of their
+    citations, token F1 to the reference and false abstentions; the others give the rate of right
+    abstentions. Failed answers count as errors and nowhere else; a metric without items is left out.
+    """
+    rows = items.select("query_id", "reference").join(answers.select("query_id", "answer", "error_kind"), "query_id", "left")
+    rows = rows.join(gold.select("query_id").distinct().withColumn("gold", F.lit(True)), "query_id", "left").join(reports.select("query_id", "validity_rate"), "query_id", "left")
+    rows = rows.join(citation_precision(cited, gold), "query_id", "left")
+    f1 = token_f1(rows.where("answer is not null and reference is not null").select(F.col("query_id").alias("pair_id"), F.col("answer").alias("prediction"), "reference"))
+    rows = rows.join(f1.withColumnRenamed("pair_id", "query_id"), "query_id", "left")
+    good, answerable = F.col("answer").isNotNull(), F.coalesce("gold", F.lit(False))
+    said = F.coalesce(abstained(F.col("answer")), F.lit(False))
+    mean = lambda who, value: F.avg(F.when(who, value.cast("double")))
+    found = {
+        "n_items": F.count("*").cast("double"),
+        "n_errors": F.count_if(~good).cast("double"),
+        "error_rate": F.avg((~good).cast("double")),
+        "citation_validity": mean(good & answerable & ~said, F.col("validity_rate")),
+        "citation_precision": mean(good & answerable & ~said, F.col("precision")),
+        "cited_rate": mean(good & answerable & ~said, F.col("precision").isNotNull()),
+        "token_f1": mean(good & answerable, F.col("f1")),
+        "false_abstain_rate": mean(good & answerable, said),
+        "abstain_rate": mean(good & ~answerable, said),
+    }
+    one = rows.agg(*[v.alias(k) for k, v in found.items()])
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in found])).alias("m")
+    return one.select(long).select("m.*").where("value is not null")
+
+
+def latencies(rows: DataFrame, value: str = "ms", *keys: str) -> DataFrame:
+    """Median, 95th percentile and maximum of a column, exact, by keys."""
+    pick = lambda q, name: F.percentile(value, q).alias(name)
+    return rows.groupBy(*keys).agg(pick(0.5, "p50"), pick(0.95, "p95"), F.max(value).alias("most"), F.count(value).alias("n"))
+
+
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(metric, value, floor, passed) for every threshold (metric, baseline, tolerance); a missing metric fails the query."""
     rows = thresholds.join(metrics, "metric", "left")

@@ -1,8 +1,9 @@
-"""A versioned store of documents, chunks and embeddings in Parquet.
+"""A versioned store of documents, chunks, embeddings and their inverted index in Parquet.
 
-A version is a folder of tables; a manifest names the current one and is replaced by a
-rename, so readers see all of a change or none. Changes replace rows by key: what
-is not touched is anti-joined, what is new is appended.
+A change writes what is new as a part, and tombstones for what it replaces or removes; no
+other row is rewritten. Numbered manifests list the parts, and the highest one counts: it
+comes into being by a rename, so readers see all of a change or none, and a writer who
+finds its number taken fails. compact() merges parts and tombstones.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from folioflux.errors import ConfigError, EmbeddingError, ModelMismatch, StoreError
 from folioflux.functions import text as T
 from folioflux.operators.chunking import recursive_chunks
+from folioflux.operators.retrieval import dense, postings
 
 DUPLICATE = 0.97
 MAX_DELETE = 0.5
@@ -26,7 +29,25 @@ SCHEMAS = {
     "documents": "doc_id string, source_uri string, text string, content_hash string, metadata variant",
     "chunks": "chunk_id string, doc_id string, ordinal int, text string, start_char int, end_char int, token_count int, metadata variant",
     "embeddings": "chunk_id string, vector array<float>",
+    "postings": "chunk_id string, length int, term string, tf int",
 }
+#: Every stored row also has the document it belongs to and the change that wrote it.
+OWNER, CHANGE = "__doc", "__change"
+DEAD = "name string, key string, change long"
+
+
+class VectorStore(Protocol):
+    """What retrieval asks of a store of vectors; all ids and vectors are DataFrames (chunk_id[, vector])."""
+
+    def upsert_embeddings(self, rows: DataFrame, dim: int) -> None: ...
+
+    def delete_embeddings(self, ids: DataFrame) -> None: ...
+
+    def vectors(self, ids: DataFrame | None = None) -> DataFrame: ...
+
+    def search(self, queries: DataFrame, k: int, ids: DataFrame | None = None) -> DataFrame: ...
+
+    def count(self) -> int: ...
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -81,13 +102,15 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, model: str, embed: Callab
     return keyed.join(known, "text_hash").select("id", "vector"), fresh
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = DUPLICATE, asked: Column | None = None) -> DataFrame:
     """(chunk_id, winner_id, score): for each of vectors (chunk_id, doc_id, grp, vector) the most similar chunk of an earlier document of its group.
 
     Rows compare only within their group, which the data opts into as a blocking key; a winner's
-    doc_id is smaller, ties go to the smaller chunk_id. Groups are joined by key, never gathered.
+    doc_id is smaller, ties go to the smaller chunk_id. Groups are joined by key, never gathered;
+    with ``asked`` only rows that it is true of look for a winner.
     """
-    a = vectors.select("chunk_id", "doc_id", "grp", "vector")
+    a = vectors if asked is None else vectors.where(asked)
+    a = a.select("chunk_id", "doc_id", "grp", "vector")
     b = vectors.select(F.col("chunk_id").alias("winner_id"), F.col("doc_id").alias("w_doc"), F.col("grp").alias("w_grp"), F.col("vector").alias("w_vec"))
     pairs = a.join(b, (F.col("grp") == F.col("w_grp")) & (F.col("w_doc") < F.col("doc_id")))
     pairs = pairs.select("chunk_id", "winner_id", T.dot(F.col("vector"), F.col("w_vec")).alias("score")).where(F.col("score") >= threshold)
@@ -104,111 +127,143 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict | None:
-        """The current version: {"version", "model", "revision"}; None for a new store."""
-        at = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
+    def _read(self, path: str) -> bytes:
+        stream = self._fs.open(self._path(path))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
+    def _write(self, path: str, data: bytes) -> None:
+        """All of a file or nothing of it; one that is there already is an error."""
+        draft, at = self._path(f"{path}.{uuid.uuid4().hex}"), self._path(path)
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(data))
+        stream.close()
+        if self._fs.exists(at) or not self._fs.rename(draft, at):
+            self._fs.delete(draft, False)
+            raise StoreError("the store changed meanwhile", path=path)
+
+    def manifest(self) -> dict | None:
+        """The current version: {"model", "revision", "parts"}; None for a new store."""
+        folder = self._path(f"{self.root}/manifests")
+        if not self._fs.exists(folder):
+            return None
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        return json.loads(self._read(f"{self.root}/manifests/{names[-1]}").decode()) if names else None
+
+    def _rows(self, name: str) -> DataFrame:
+        """The live rows of a table with owner and change."""
+        found, schema = self.manifest(), f"{SCHEMAS[name]}, {OWNER} string, {CHANGE} long"
+        parts = [p for p in (found or {"parts": []})["parts"] if name in p["tables"]]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p['folder']}/{name}" for p in parts])
+        graves = [f"{self.root}/{p['folder']}/dead" for p in found["parts"] if "dead" in p["tables"]]
+        if not graves:
+            return rows
+        dead = self.spark.read.schema(DEAD).parquet(*graves)
+        last = lambda kind: dead.where(F.col("name") == kind).groupBy("key").agg(F.max("change").alias("until"))
+        rows = rows.join(last("document"), (F.col(OWNER) == F.col("key")) & (F.col(CHANGE) < F.col("until")), "left_anti")
+        if name == "embeddings":
+            rows = rows.join(last("embedding"), (F.col("chunk_id") == F.col("key")) & (F.col(CHANGE) < F.col("until")), "left_anti")
+        return rows
+
     def tables(self) -> dict[str, DataFrame]:
-        found = self.manifest()
-        if found is None:
-            return {k: self.spark.createDataFrame([], s) for k, s in SCHEMAS.items()}
-        return {k: self.spark.read.schema(s).parquet(f"{self.root}/{found['version']}/{k}") for k, s in SCHEMAS.items()}
-
-    def publish(self, tables: dict[str, DataFrame], expected: dict | None = None) -> dict:
-        """Write a version and point the manifest at it, unless another writer was first."""
-        before = self.manifest()
-        if expected is not None and before != expected:
-            raise StoreError("the store changed meanwhile", revision=(before or {}).get("revision"))
-        if before and before["model"] != self.model:
+        return {k: self._rows(k).drop(OWNER, CHANGE) for k in SCHEMAS}
+
+    def _publish(self, expected: dict | None, tables: dict[str, DataFrame], dead: DataFrame | None = None, whole: bool = False) -> dict:
+        """Write a part of rows with owner, and tombstones (name, key), and list them. whole: nothing before it counts any more."""
+        before = expected or {"model": self.model, "revision": 0, "parts": []}
+        if before["model"] != self.model:
             raise ModelMismatch("the index was built with another model", built=before["model"], asked=self.model)
-        version = f"v-{uuid.uuid4().hex}"
-        for k, s in SCHEMAS.items():
-            columns = self.spark.createDataFrame([], s).columns
-            tables[k].select(*columns).write.parquet(f"{self.root}/{version}/{k}")
-        found = {"version": version, "model": self.model, "revision": (before or {"revision": 0})["revision"] + 1}
-        fresh = self._path(f"{self.root}/{version}/manifest.json")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(json.dumps(found).encode()))
-        stream.close()
-        at = self._path(f"{self.root}/manifest.json")
-        self._fs.delete(at, False)
-        if not self._fs.rename(fresh, at):
-            raise StoreError("the manifest can't be replaced")
+        change, folder = before["revision"] + 1, f"part-{uuid.uuid4().hex}"
+        for k, rows in tables.items():
+            columns = self.spark.createDataFrame([], SCHEMAS[k]).columns
+            rows = rows.select(*columns, OWNER, F.lit(change).cast("long").alias(CHANGE))
+            if k == "postings":  # so that a term's postings lie in few row groups
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+            rows.write.parquet(f"{self.root}/{folder}/{k}")
+        if dead is not None:
+            dead.select("name", "key", F.lit(change).cast("long").alias("change")).write.parquet(f"{self.root}/{folder}/dead")
+        part = {"folder": folder, "tables": [*tables, *(["dead"] if dead is not None else [])]}
+        found = {"model": self.model, "revision": change, "parts": [part] if whole else [*before["parts"], part]}
+        self._write(f"{self.root}/manifests/{change:012d}.json", json.dumps(found).encode())
         return found
 
     def ingest(self, documents: DataFrame, chunker=recursive_chunks, duplicate: float = DUPLICATE) -> dict:
         """Add or replace documents (doc_id, source_uri, text, metadata variant); those with unchanged text are left alone."""
         begun = self.manifest()
-        old = self.tables()
         rows = documents.select("doc_id", "source_uri", T.normalize_text(F.col("text")).alias("text"), T.content_hash(F.col("text")).alias("content_hash"), "metadata")
-        known = old["documents"].select("doc_id", F.col("content_hash").alias("known"))
+        known = self._rows("documents").select("doc_id", F.col("content_hash").alias("known"))
         fresh = rows.join(known, "doc_id", "left").where("known is null or known <> content_hash").drop("known").persist()
         try:
-            chunks = chunker(fresh.select("doc_id", "text")).join(fresh.select("doc_id", "metadata"), "doc_id")
-            vectors = chunks.select("chunk_id", self.embed(F.col("text")).cast("array<float>").alias("vector"))
-            kept = deleted(old["documents"], old["chunks"], old["embeddings"], fresh.select("doc_id"))
-            meta = F.parse_json(F.lit("{}"))
-            new_chunks = self._tagged(kept, fresh, chunks.withColumn("metadata", meta), vectors, duplicate)
-            tables = {"documents": kept[0].unionByName(fresh), "chunks": kept[1].unionByName(new_chunks), "embeddings": kept[2].unionByName(vectors)}
-            self.publish(tables, begun)
-            return {"documents": fresh.count(), "chunks": self.tables()["chunks"].count()}
+            n = fresh.count()
+            if n:
+                chunks = chunker(fresh.select("doc_id", "text")).withColumn("metadata", F.parse_json(F.lit("{}"))).persist()
+                owned = chunks.withColumn(OWNER, F.col("doc_id"))
+                vectors = owned.select("chunk_id", self.embed(F.col("text")).cast("array<float>").alias("vector"), OWNER)
+                words = postings(chunks).join(owned.select("chunk_id", OWNER).distinct(), "chunk_id")
+                dead = fresh.select(F.lit("document").alias("name"), F.col("doc_id").alias("key"))
+                tagged = self._tagged(fresh, owned, vectors, duplicate)
+                self._publish(begun, {"documents": fresh.withColumn(OWNER, F.col("doc_id")), "chunks": tagged, "embeddings": vectors, "postings": words}, dead)
+                chunks.unpersist()
+            return {"documents": n, "chunks": self._rows("chunks").count()}
         finally:
             fresh.unpersist()
 
-    def _tagged(self, kept, fresh: DataFrame, chunks: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    def _tagged(self, fresh: DataFrame, chunks: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
         """New chunks with the winner's id in their metadata where an earlier document of their group has nearly the same chunk."""
-        columns = self.spark.createDataFrame([], SCHEMAS["chunks"]).columns
-        chunks = chunks.select(*columns)
         group = F.try_variant_get("metadata", f'$["{GROUP_KEY}"]', "string").alias("grp")
-        docs = kept[0].select("doc_id", group).unionByName(fresh.select("doc_id", group)).where("grp is not null")
-        old = kept[1].select("chunk_id", "doc_id", F.lit(0).alias("fresh")).join(kept[2], "chunk_id")
-        every = old.unionByName(chunks.select("chunk_id", "doc_id", F.lit(1).alias("fresh")).join(vectors, "chunk_id")).join(docs, "doc_id")
-        every = every.withColumn("doc_id", F.struct("fresh", "doc_id"))  # what is stored came before
-        found = near_duplicates(every, threshold).select("chunk_id", "winner_id")
+        new = fresh.select("doc_id", group).where("grp is not null")
+        kept = self._rows("documents").join(fresh.select("doc_id"), "doc_id", "left_anti").select("doc_id", group).join(new.select("grp").distinct(), "grp", "left_semi")
+        old = self._rows("chunks").select("chunk_id", "doc_id", F.lit(0).alias("fresh")).join(kept, "doc_id").join(self._rows("embeddings").select("chunk_id", "vector"), "chunk_id")
+        every = chunks.select("chunk_id", "doc_id", F.lit(1).alias("fresh")).join(new, "doc_id").join(vectors.select("chunk_id", "vector"), "chunk_id")
+        every = old.unionByName(every).withColumn("doc_id", F.struct("fresh", "doc_id"))  # what is stored came before
+        found = near_duplicates(every, threshold, F.col("doc_id.fresh") == 1).select("chunk_id", "winner_id")
         tag = F.to_json(F.create_map(F.lit(DUPLICATE_KEY), F.col("winner_id")))
         meta = F.when(F.col("winner_id").isNotNull(), F.parse_json(tag)).otherwise(F.col("metadata"))
-        return chunks.join(found, "chunk_id", "left").withColumn("metadata", meta).select(*columns)
+        return chunks.join(found, "chunk_id", "left").withColumn("metadata", meta)
 
     def delete(self, doc_ids: DataFrame) -> int:
         """Remove documents; how many chunks went."""
-        old = self.tables()
-        gone = old["chunks"].join(doc_ids.select("doc_id"), "doc_id", "left_semi").count()
-        self.publish(dict(zip(SCHEMAS, deleted(*old.values(), doc_ids), strict=True)), self.manifest())
+        gone = self._rows("chunks").join(doc_ids.select("doc_id"), "doc_id", "left_semi").count()
+        self._publish(self.manifest(), {}, doc_ids.select(F.lit("document").alias("name"), F.col("doc_id").alias("key")).distinct())
         return gone
 
     def sync(self, incoming: DataFrame, apply: bool = False, max_delete: float = MAX_DELETE) -> dict:
         """Differences to incoming documents, and with apply the store made equal; too many deletions are refused and write nothing."""
-        stored = self.tables()["documents"]
+        stored = self._rows("documents")
         rows = incoming.withColumn("content_hash", T.content_hash(F.col("text")))
         diff = changes(rows, stored)
         report = guarded(diff, stored, max_delete).first().asDict()
         if apply:
             if report["over_delete_guard"]:
                 raise StoreError("too many documents would be deleted", deleted=report["deleted"], stored=report["stored"])
-            gone = diff.where("status = 'deleted'").select("doc_id").collect() if report["deleted"] else []
-            if gone:
-                self.delete(self.spark.createDataFrame(gone, "doc_id string"))
+            if report["deleted"]:
+                self.delete(diff.where("status = 'deleted'").select("doc_id"))
             if report["added"] or report["updated"]:
                 self.ingest(incoming)
         return report | {"applied": apply}
 
     def upsert_embeddings(self, rows: DataFrame, dim: int) -> None:
-        """Replace vectors by chunk_id; wrong sizes fail before anything is published."""
-        if rows.where(F.size("vector") != dim).limit(1).count():
-            raise EmbeddingError("vectors differ in dimension", dim=dim)
-        old = self.tables()
-        self.publish(old | {"embeddings": replaced(old["embeddings"], rows.select("chunk_id", F.col("vector").cast("array<float>").alias("vector")), "chunk_id")}, self.manifest())
-
-    def compact(self, files: int = 1) -> None:
-        """Rewrite the tables in fewer files; what they hold stays."""
-        self.publish({k: t.coalesce(files) for k, t in self.tables().items()}, self.manifest())
+        """Replace vectors by chunk_id; wrong sizes and repeated ids fail before anything is published."""
+        found = rows.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.count_if(F.coalesce(F.size("vector"), F.lit(-1)) != dim).alias("bad")).first()
+        if found["bad"] or found["n"] != found["ids"]:
+            raise EmbeddingError("vectors differ in dimension or repeat an id", dim=dim, bad=found["bad"], rows=found["n"], ids=found["ids"])
+        owner = self._rows("chunks").select("chunk_id", OWNER)
+        vectors = rows.select("chunk_id", F.col("vector").cast("array<float>").alias("vector")).join(owner, "chunk_id", "left")
+        self._publish(self.manifest(), {"embeddings": vectors}, rows.select(F.lit("embedding").alias("name"), F.col("chunk_id").alias("key")))
+
+    def delete_embeddings(self, ids: DataFrame) -> None:
+        """Tombstones for vectors; compact() takes them away."""
+        self._publish(self.manifest(), {}, ids.select(F.lit("embedding").alias("name"), F.col("chunk_id").alias("key")).distinct())
+
+    def compact(self, files: int | None = None) -> None:
+        """Merge parts and tombstones into one part; what the tables hold stays."""
+        begun = self.manifest()
+        rows = {k: self._rows(k).drop(CHANGE) for k in SCHEMAS}
+        self._publish(begun, {k: t.coalesce(files) if files and k != "postings" else t for k, t in rows.items()}, whole=True)
 
     def document(self, doc_id: str) -> DataFrame:
         return self.tables()["documents"].where(F.col("doc_id") == doc_id)
@@ -216,5 +271,59 @@ class Store:
     def document_chunks(self, doc_id: str) -> DataFrame:
         return self.tables()["chunks"].where(F.col("doc_id") == doc_id).orderBy("ordinal")
 
-    def vectors(self, ids: DataFrame) -> DataFrame:
-        return self.tables()["embeddings"].join(ids.select("chunk_id"), "chunk_id", "left_semi")
+    def documents_in_order(self) -> DataFrame:
+        """All documents by doc_id; so are chunks_in_order() by document and ordinal, and embeddings by chunk."""
+        return self.tables()["documents"].orderBy("doc_id")
+
+    def chunks_in_order(self) -> DataFrame:
+        return self.tables()["chunks"].orderBy("doc_id", "ordinal")
+
+    def embeddings_in_order(self) -> DataFrame:
+        return self.tables()["embeddings"].orderBy("chunk_id")
+
+    def vectors(self, ids: DataFrame | None = None) -> DataFrame:
+        rows = self.tables()["embeddings"]
+        return rows if ids is None else rows.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+
+    def search(self, queries: DataFrame, k: int, ids: DataFrame | None = None) -> DataFrame:
+        return dense(queries, self.vectors(), k, ids)
+
+    def count(self) -> int:
+        """Vectors that are not dead."""
+        return self._rows("embeddings").count()
+
+    def save_snapshot(self, path: str) -> dict:
+        """The vectors as a table of their own with a manifest of model, dimension, revision, rows and a checksum that no order of rows changes."""
+        found = self.manifest()
+        if found is None:
+            raise StoreError("there is nothing to save", store=self.root)
+        version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+        self.vectors().write.parquet(version)
+        made = {"model": self.model, "revision": found["revision"], "folder": version} | _checked(self.spark.read.schema(SCHEMAS["embeddings"]).parquet(version))
+        self._write(f"{path.rstrip('/')}/{len(self._snapshots(path)):012d}.json", json.dumps(made).encode())
+        return made
+
+    def _snapshots(self, path: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(path)) if f.getPath().getName().endswith(".json"))
+
+    def load_snapshot(self, path: str) -> DataFrame:
+        """The newest snapshot's vectors; one of another model, an older revision or with other contents than it was saved with is an error."""
+        names = self._snapshots(path)
+        if not names:
+            raise StoreError("there is no snapshot", path=path)
+        made = json.loads(self._read(f"{path.rstrip('/')}/{names[-1]}").decode())
+        if made["model"] != self.model:
+            raise ModelMismatch("the snapshot was made with another model", built=made["model"], asked=self.model)
+        if made["revision"] != (self.manifest() or {"revision": 0})["revision"]:
+            raise StoreError("the snapshot is of another revision", saved=made["revision"])
+        rows = self.spark.read.schema(SCHEMAS["embeddings"]).parquet(made["folder"])
+        if _checked(rows) != {k: made[k] for k in ("rows", "dim", "checksum")}:
+            raise StoreError("the snapshot is damaged", path=path)
+        return rows
+
+
+def _checked(rows: DataFrame) -> dict:
+    got = rows.agg(F.count("*").alias("rows"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("dim"), F.sum(F.xxhash64("chunk_id", "vector").cast("decimal(38,0)")).alias("sum")).first()
+    if got["least"] != got["dim"]:
+        raise EmbeddingError("vectors differ in dimension", least=got["least"], most=got["dim"])
+    return {"rows": got["rows"], "dim": got["dim"], "checksum": str(got["sum"])}

@@ -200,6 +200,52 @@ def test_store(spark, tmp_path):
     assert store.tables()["documents"].count() == 2
 
 
+def test_store_parts(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store = Store(spark, root)
+    assert store.manifest() is None and store.count() == 0
+    store.ingest(documents(spark, [("a", "red fish"), ("b", "blue fish"), ("c", "")]))
+    begun = store.manifest()
+    store.ingest(documents(spark, [("b", "green bird")]))
+    with pytest.raises(StoreError):  # another writer was first
+        store._publish(begun, {}, spark.createDataFrame([("document", "x")], "name string, key string"))
+    tables = store.tables()
+    assert {r["text"] for r in tables["documents"].collect()} == {"red fish", "green bird", ""}
+    assert {r["term"] for r in tables["postings"].where("term is not null").collect()} == {"red", "fish", "green", "bird"}
+    assert [r["ordinal"] for r in store.document_chunks(T_id("a")).collect()] == [0] and store.document(T_id("b")).first()["text"] == "green bird"
+    order = [r["doc_id"] for r in store.documents_in_order().collect()]
+    assert order == sorted(order) and store.chunks_in_order().count() == 2 == store.embeddings_in_order().count()
+    one = store.embeddings_in_order().first()["chunk_id"]
+    ids = spark.createDataFrame([(one,)], "chunk_id string")
+    store.upsert_embeddings(spark.createDataFrame([(one, [1.0] * 64)], "chunk_id string, vector array<double>"), 64)
+    assert store.vectors(ids).first()["vector"] == [1.0] * 64 and store.count() == 2
+    hit = store.search(spark.createDataFrame([(1, [1.0] * 64)], "query_id int, vector array<double>"), 1).first()
+    assert (hit["chunk_id"], hit["score"]) == (one, 64.0)
+    for bad in ([(one, [1.0])], [(one, [1.0] * 64)] * 2, [(one, None)]):
+        with pytest.raises(Exception, match="dimension"):
+            store.upsert_embeddings(spark.createDataFrame(bad, "chunk_id string, vector array<double>"), 64)
+    snap = str(tmp_path / "snap")
+    made = store.save_snapshot(snap)
+    assert made["rows"] == 2 and store.load_snapshot(snap).count() == 2
+    store.delete_embeddings(ids)
+    assert store.count() == 1
+    with pytest.raises(StoreError):
+        store.load_snapshot(snap)
+    store.compact()
+    assert store.count() == 1 and len(store.manifest()["parts"]) == 1 and store.tables()["documents"].count() == 3
+    store.save_snapshot(snap)
+    spark.createDataFrame([("x", [1.0] * 64)], "chunk_id string, vector array<float>").write.mode("append").parquet(store.save_snapshot(snap)["folder"])
+    with pytest.raises(StoreError):
+        store.load_snapshot(snap)
+    assert store.delete(spark.createDataFrame([(T_id("a"),)], "doc_id string")) == 1 and store.tables()["postings"].where("term = 'red'").count() == 0
+
+
+def T_id(uri):
+    import hashlib
+
+    return hashlib.sha256(uri.encode()).hexdigest()[:32]
+
+
 def test_diff_and_duplicates(spark):
     old = spark.createDataFrame([("a", "1", "h"), ("b", "2", "h")], "source_uri string, doc_id string, content_hash string")
     new = spark.createDataFrame([("a", "1", "h"), ("c", "3", "h")], "source_uri string, doc_id string, content_hash string")
@@ -348,3 +394,116 @@ def test_bpe_counter():
     text = "some words to pack " * 30
     spans = chunking.packed(text, chunking.atoms(text, 0, len(text), 12, count), 12, 4, count)
     assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(count(text[a:b]) <= 12 for a, b in spans)
+
+
+def words_of(rows):
+    return [r["chunk_id"] for r in rows.orderBy("rank").collect()]
+
+
+def test_rag(spark, tmp_path):
+    from folioflux.operators import transforms
+    from folioflux.plans import rag
+
+    told = []
+    docs = documents(spark, [("a", "Red fish swim in the sea. They eat plankton."), ("b", "Blue birds fly over hills."), ("c", "Green trees stand still in the wood.")])
+    whole = rag.build(spark, str(tmp_path / "s"), docs, k=2, hook=told.append)
+    q = spark.createDataFrame([(1, "red fish"), (2, "birds hills")], "query_id int, text string")
+    for mode in ("dense", "bm25", "hybrid"):
+        whole.mode = mode
+        top = {r["query_id"]: r["text"] for r in whole.retrieve(q).where("rank = 1").collect()}
+        assert top[1].startswith("Red") and top[2].startswith("Blue"), mode
+    got = whole.query(q)
+    answers = {r["query_id"]: r["answer"] for r in got["answers"].collect()}
+    assert answers == {1: "Red fish swim in the sea. [1]", 2: "Blue birds fly over hills. [1]"}
+    assert {(r["query_id"], r["source_uri"]) for r in got["citations"].collect()} == {(1, "a"), (2, "b")}
+    whole.min_score = 99.0
+    assert {r["answer"] for r in whole.query(q)["answers"].collect()} == {context.ABSTENTION}
+    whole.min_score = None
+    assert {r["doc_id"] for r in whole.retrieve(q, {"source_uri": {"$prefix": "c"}}).collect()} <= {T_id("c")}
+
+    def broken(queries, ranking, chunks):
+        return ranking.select("query_id", "chunk_id", F.raise_error(F.lit("down")).cast("double").alias("score"))
+
+    plain = words_of(whole.retrieve(q.where("query_id = 1")))
+    whole.rerank = broken
+    assert words_of(whole.retrieve(q.where("query_id = 1"))) == plain and told[-1].name == "rerank_failed"
+    whole.rerank = rag.lexical
+    assert whole.retrieve(q).where("rank = 1 and source = 'rerank'").count() == 2
+    whole.rerank, whole.diversity, whole.window, whole.transform = None, 0.5, 1, transforms.sentences
+    assert whole.retrieve(q).count() == 4
+    whole.transform = transforms.generated(lambda: generation.ScriptedGenerator(["- fish\n\n2. the sea\nx\ny"]), 2)
+    assert [r["text"] for r in whole.transform(q.where("query_id = 1")).orderBy("position").collect()] == ["fish", "the sea"]
+    with pytest.raises(Exception, match="no phrasings"):
+        transforms.generated(lambda: generation.ScriptedGenerator([TransientError("down")]))(q).collect()
+    assert transforms.identity(q).count() == 0
+    swept = rag.sweep(lambda **s: rag.Rag(whole.store, **s), [{"mode": "dense"}, {"mode": "bm25"}], lambda r: r.retrieve(q).agg(F.lit("n").alias("metric"), F.count("*").cast("double").alias("value")))
+    assert {r["setting"] for r in swept.collect()} == {"mode=dense", "mode=bm25"}
+    assert '"answer"' in rag.as_json(got["answers"]).first()["json"]
+    with pytest.raises(ConfigError):
+        rag.Rag(whole.store, mode="x")
+    assert whole.delete_document(T_id("a")) == 1
+    whole.compact()
+    assert whole.store.tables()["documents"].count() == 2
+    lists = rag.embedded_in_batches(lambda texts: [[float(len(t))] for t in texts], 2)
+    assert [r["vector"] for r in rag.embedded(q, "query_id", lists, 1).orderBy("query_id").collect()] == [[8.0], [11.0]]
+    with pytest.raises(Exception, match="another size"):
+        rag.embedded(q, "query_id", lists, 2).collect()
+
+
+def test_answer_evaluation(spark):
+    items = spark.createDataFrame([(1, "the cat"), (2, "a dog"), (3, None), (4, "x")], "query_id int, reference string")
+    answers = spark.createDataFrame([(1, "cat [1]", None), (2, context.ABSTENTION, None), (3, context.ABSTENTION, None), (4, None, "TransientError")], "query_id int, answer string, error_kind string")
+    gold = spark.createDataFrame([(1, 0, "d", 0, 5), (2, 0, "d", 0, 5), (4, 0, "d", 0, 5)], "query_id int, gold_idx int, doc_id string, start_char int, end_char int")
+    cited = spark.createDataFrame([(1, 1, "d", 3, 9), (1, 2, "e", 0, 5)], "query_id int, label int, doc_id string, start_char int, end_char int")
+    reports = spark.createDataFrame([(1, 0.5), (2, 1.0)], "query_id int, validity_rate double")
+    got = {r["metric"]: r["value"] for r in evaluation.evaluate_answers(items, answers, reports, cited, gold).collect()}
+    assert got == {"n_items": 4, "n_errors": 1, "error_rate": 0.25, "citation_validity": 0.5, "citation_precision": 0.5, "cited_rate": 1.0, "token_f1": pytest.approx((2 / 3 + 0) / 2), "false_abstain_rate": 0.5, "abstain_rate": 1.0}
+    run = lambda kinds: [tuple(r) for r in evaluation.stopped_at(spark.createDataFrame(list(enumerate(kinds)), "position int, error_kind string"), 3).collect()]
+    bad = "TransientError"
+    assert run([None, bad, bad, None, bad, bad, bad, bad]) == [(6, "failures")] and run([bad, None, "QuotaExhausted", bad, bad, bad]) == [(2, "refused")] and run([bad, bad, None]) == []
+    times = spark.createDataFrame([(float(i),) for i in range(1, 101)], "ms double")
+    assert tuple(evaluation.latencies(times).first()) == (50.5, pytest.approx(95.05), 100.0, 100)
+    assert evaluation.render_report([{"metric": "mrr", "value": 0.5}]) == "mrr  0.500"
+    gone = spark.createDataFrame([("x", "u")], "doc_id string, source_uri string")
+    said = spark.createDataFrame([(1, "yes [1]")], "query_id int, answer string")
+    blocks = spark.createDataFrame([(1, 1, "k")], "query_id int, label int, chunk_id string")
+    places = spark.createDataFrame([(1, "k", "d", 0, 4)], "query_id int, chunk_id string, doc_id string, start_char int, end_char int")
+    with pytest.raises(Exception, match="no document for citation"):
+        context.cited_sources(said, blocks, places, gone).collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from folioflux import cli
+
+    root = tmp_path / "corpus"
+    root.mkdir()
+    (root / "a.txt").write_text("Red fish swim in the sea.")
+    (root / "b.md").write_text("Blue birds fly over hills.")
+    call = lambda *a: (cli.main(["--store", str(tmp_path / "s"), "--json", *a], spark), capsys.readouterr())
+    assert call("query", "red fish")[0] == 5
+    code, out = call("ingest", str(root))
+    assert code == 0 and json.loads(out.out)["documents"] == 2
+    code, out = call("query", "red fish", "--mode", "bm25", "-k", "1")
+    assert code == 0 and json.loads(out.out) == {"answer": "Red fish swim in the sea. [1]", "citations": [{"label": 1, "source_uri": "a.txt", "start_char": 0, "end_char": 25}]}
+    assert len(json.loads(call("inspect")[1].out)["documents"]) == 2
+    (tmp_path / "items.jsonl").write_text('{"id": "1", "question": "red fish?", "gold": [{"source_uri": "a.txt", "quote": "fish  swim"}]}\n\n{"id": "2", "question": "what?"}\n')
+    (tmp_path / "t.json").write_text('{"mrr": {"baseline": 0.9, "tolerance": 0.1}}')
+    code, out = call("eval", str(tmp_path / "items.jsonl"), "--thresholds", str(tmp_path / "t.json"))
+    assert code == 0 and json.loads(out.out)["metrics"]["mrr"] == 1.0
+    (tmp_path / "t.json").write_text('{"mrr": {"baseline": 1.9, "tolerance": 0.1}}')
+    assert call("eval", str(tmp_path / "items.jsonl"), "--thresholds", str(tmp_path / "t.json"))[0] == 6
+    (root / "b.md").unlink()
+    assert json.loads(call("sync", str(root), "--apply")[1].out)["deleted"] == 1
+    assert call("query", "red fish", "-k", "0")[0] == 3
+    from folioflux.errors import EvaluationError
+
+    for bad in ("x", '{"id": "1", "question": "q", "more": 1}', '{"id": "1"}', '{"id": "1", "question": "q", "gold": [{}]}', ""):
+        (tmp_path / "bad.jsonl").write_text(bad)
+        with pytest.raises(EvaluationError):
+            loaders.load_items(spark, str(tmp_path / "bad.jsonl"))
+    (tmp_path / "t.json").write_text('{"mrr": {"baseline": 1}}')
+    with pytest.raises(EvaluationError):
+        loaders.load_thresholds(spark, str(tmp_path / "t.json"))
+    assert [r["source_uri"] for r in loaders.load_corpus(spark, str(root)).collect()] == ["a.txt"]
