@@ -6,7 +6,7 @@ answer's gold span is where its passage stands in a document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflux.functions import html as H
@@ -534,16 +534,31 @@ def usage_cost(spark, d):
 
 # ---- evaluation -----------------------------------------------------------------------------
 
+NORM = r"list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
+
 GOLD = "gold AS (SELECT b.item_id AS query_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS gold_idx, d.doc_id::VARCHAR AS doc_id, strpos(d.text, b.text) - 1 AS s, strpos(d.text, b.text) - 1 + length(b.text) AS e FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def gold(spark, d) -> DataFrame:
-    """Where passages stand in documents; passages are indexed by their first word to avoid comparing all with all."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), T.split_blanks(F.col("text"))[0].alias("word"))
-    words = documents(spark, d).select("doc_id", "text", F.explode(F.array_distinct(T.split_blanks(F.col("text")))).alias("word"))
-    from pyspark.sql import Window
+#: Words by which a passage is looked up, after its first one, which may be part of a longer word.
+ANCHOR = 4
 
-    rows = words.join(b, "word").where(F.contains("text", F.col("passage")))
+
+def gold(spark, d) -> DataFrame:
+    """Where passages stand in documents.
+
+    Passages are looked up by the hash of a few words running, each document giving only the
+    hashes that some passage has; texts are joined to the candidates that are left.
+    """
+    words = T.split_blanks(F.col("text"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words.alias("w"))
+    long = F.size("w") >= ANCHOR + 2  # shorter passages are looked up by their first word
+    b = b.withColumn("key", F.when(long, F.xxhash64(*[F.get("w", F.lit(k + 1)) for k in range(ANCHOR)])).otherwise(F.xxhash64(F.get("w", F.lit(0)))))
+    docs = documents(spark, d).select("doc_id", words.alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - ANCHOR)), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(ANCHOR)]))
+    singles = F.transform("w", lambda x: F.xxhash64(x))
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.concat(runs, singles) if b.where(~long).limit(1).count() else runs)).alias("key"))
+    found = keys.join(b.select("key", "query_id", "passage"), "key").drop("key")
+    rows = found.join(documents(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
     at = F.expr("locate(passage, text) - 1")
     order = Window.partitionBy("query_id").orderBy(F.col("doc_id").cast("long"))
     return rows.select("query_id", (F.row_number().over(order) - 1).alias("gold_idx"), "doc_id", at.alias("start_char"), (at + F.length("passage")).alias("end_char"))
@@ -572,6 +587,16 @@ def eval_recall_mrr_ndcg(spark, d):
     return found.select("query_id", "n_gold", *[F.round(c, 6).alias(c) for c in ("mrr", "recall_5", "precision_5")], "hit_5", F.round("ndcg_5", 6).alias("ndcg_5"))
 
 
+@query(f"""WITH {EVAL}, lg AS (SELECT query_id, lang FROM gold JOIN documents d ON d.doc_id::VARCHAR = gold.doc_id WHERE gold_idx = 0)
+SELECT lang, count(*) AS items, round(avg(mrr), 6) AS mrr, round(avg(recall_5), 6) AS recall_5, round(avg(ndcg_5), 6) AS ndcg_5 FROM item JOIN lg USING (query_id) GROUP BY lang""")
+def eval_by_lang(spark, d):
+    """Retrieval metrics by the language of an item's first gold document."""
+    g = gold(spark, d)
+    lang = g.where("gold_idx = 0").join(documents(spark, d).select("doc_id", "lang"), "doc_id").select("query_id", "lang")
+    each = evaluation.item_metrics(gold_hits(spark, d), g, (5,)).join(lang, "query_id")
+    return each.groupBy("lang").agg(F.count("*").alias("items"), *[F.round(F.avg(c), 6).alias(c) for c in ("mrr", "recall_5", "ndcg_5")])
+
+
 FLAGS = "fl AS (SELECT q.query_id, coalesce((SELECT max(score) FROM r WHERE r.query_id = q.query_id), 0) < 14 AS insufficient FROM q)"
 SUMMARY = f"""{EVAL}, {FLAGS}, sm AS (SELECT 'mrr' AS metric, avg(mrr) AS value FROM item UNION ALL SELECT 'recall_5', avg(recall_5) FROM item UNION ALL SELECT 'precision_5', avg(precision_5) FROM item
   UNION ALL SELECT 'hit_5', avg(hit_5) FROM item UNION ALL SELECT 'ndcg_5', avg(ndcg_5) FROM item
@@ -589,13 +614,56 @@ def eval_summary(spark, d):
     return summary(spark, d).select("metric", F.round("value", 6).alias("value"))
 
 
+FAILED = "query_id % 7 = 3"
+
+
+@query(
+    f"""WITH {BLOCKS}, {ANSWERS}, {MARKED}, {GOLD}, m AS (SELECT marks.query_id, count(*) AS total, count(chunk_id) AS resolved FROM marks LEFT JOIN blocks ON blocks.query_id = marks.query_id AND blocks.label = marks.label GROUP BY marks.query_id),
+cit AS (SELECT DISTINCT query_id, label, doc_id, start_char, end_char FROM marks JOIN blocks USING (query_id, label) JOIN chunk USING (chunk_id)),
+prec AS (SELECT query_id, avg((EXISTS (FROM gold g WHERE g.query_id = cit.query_id AND g.doc_id = cit.doc_id AND cit.start_char < g.e AND g.s < cit.end_char))::INT) AS p FROM cit GROUP BY query_id),
+bags AS (SELECT query_id, {NORM.format('answer')} AS a, {NORM.format('q.text')} AS r FROM ans JOIN q USING (query_id)),
+f AS (SELECT query_id, coalesce(2.0::DOUBLE * list_sum(list_transform(list_intersect(list_distinct(a), list_distinct(r)), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) / (len(a) + len(r)), 0) AS f1 FROM bags),
+z AS (SELECT ans.query_id, {FAILED} AS bad, ans.query_id IN (SELECT query_id FROM gold) AS able, coalesce(resolved::DOUBLE / total, 1.0) AS valid, p, f1, false AS said FROM ans LEFT JOIN m USING (query_id) LEFT JOIN prec USING (query_id) LEFT JOIN f USING (query_id)),
+v AS (SELECT 'n_items' AS metric, count(*)::DOUBLE AS value FROM z UNION ALL SELECT 'n_errors', sum(bad::INT)::DOUBLE FROM z UNION ALL SELECT 'error_rate', avg(bad::INT) FROM z
+  UNION ALL SELECT 'citation_validity', avg(valid) FROM z WHERE able AND NOT bad UNION ALL SELECT 'citation_precision', avg(p) FROM z WHERE able AND NOT bad UNION ALL SELECT 'cited_rate', avg((p IS NOT NULL)::INT) FROM z WHERE able AND NOT bad
+  UNION ALL SELECT 'token_f1', avg(f1) FROM z WHERE able AND NOT bad UNION ALL SELECT 'false_abstain_rate', avg(said::INT) FROM z WHERE able AND NOT bad UNION ALL SELECT 'abstain_rate', avg(said::INT) FROM z WHERE NOT able AND NOT bad)
+SELECT metric, round(value, 6) AS value FROM v WHERE value IS NOT NULL"""
+)
+def eval_answers(spark, d):
+    """Answers with their citations against gold; the passage itself is the reference, and every seventh call has failed."""
+    said, b, g = answers(spark, d), blocks(spark, d), gold(spark, d)
+    cited = context.citations(said, b, chunks(spark, d))
+    reports = context.citation_report(said, b)
+    failed = F.expr(FAILED)
+    said = said.select("query_id", F.when(~failed, F.col("answer")).alias("answer"), F.when(failed, "TransientError").alias("error_kind"))
+    items = questions(spark, d).withColumnRenamed("text", "reference")
+    return evaluation.evaluate_answers(items, said, reports, cited, g).withColumn("value", F.round("value", 6))
+
+
+FAILING = "CASE WHEN event_id % 11 < 4 OR user_id % 5 = 0 THEN 'TransientError' WHEN event_id % 997 = 996 THEN 'QuotaExhausted' END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS position, {FAILING} AS kind FROM events), b AS (SELECT *, position - row_number() OVER (ORDER BY position) AS run FROM e WHERE kind IS NOT NULL),
+x AS (SELECT min(position) AS position, 'refused' AS cause FROM e WHERE kind = 'QuotaExhausted' UNION ALL SELECT min(first) + 6, 'failures' FROM (SELECT min(position) AS first FROM b GROUP BY run HAVING count(*) >= 7))
+SELECT position, cause FROM x WHERE position IS NOT NULL ORDER BY position, cause LIMIT 1""")
+def answers_stop(spark, d):
+    """Where a run of answers stops: at a spent allowance or at the seventh failure in a row."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("position"), F.expr(FAILING).alias("error_kind"))
+    return evaluation.stopped_at(rows, 7)
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most, count(value) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    found = evaluation.latencies(table(spark, d, "events"), "value", "event_type")
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "most")], "n")
+
+
 @query(f"WITH {SUMMARY}, th(metric, baseline, tolerance) AS (VALUES ('recall_5', 0.5, 0.05), ('mrr', 0.99, 0.01)) SELECT metric, round(value, 6) AS value, round(baseline - tolerance, 9)::DOUBLE AS floor, value >= round(baseline - tolerance, 9) AS passed FROM sm JOIN th USING (metric)")
 def threshold_gate(spark, d):
     th = spark.createDataFrame([("recall_5", 0.5, 0.05), ("mrr", 0.99, 0.01)], "metric string, baseline double, tolerance double")
     return evaluation.gate(summary(spark, d), th).withColumn("value", F.round("value", 6))
 
 
-NORM = r"list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
 
 
 @query(
