@@ -30,6 +30,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -219,7 +220,7 @@ def shards(benchmark: DataFrame, max_postings: int = MAX_POSTINGS) -> Iterator[I
 def search(docs: DataFrame, indexes: list[Index], item_type: DataType, threshold: float = THRESHOLD, containment: float = CONTAINMENT, part: float = PART) -> DataFrame:
     """Verified matches of some shards in one pass: (doc_id, item_id, score, start_word, overlap, question_overlap, answer_overlap)."""
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(pickle.dumps(index)) for index in indexes]
+    shared = [context.broadcast(cloudpickle.dumps(index)) for index in indexes]
 
     def scan(held: Index, ids: list, texts: list[list[bytes]]) -> list[tuple]:
         get = held.terms.get
