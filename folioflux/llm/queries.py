@@ -194,3 +194,23 @@ b AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 a AS (SELECT rid, {_SHOWN} AS spans FROM (FROM strong UNION ALL FROM linked) GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(shown, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
+
+_ITEM_WORDS = "regexp_extract_all(" + _LOWER + r", '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+_GRAMS = "CASE WHEN len({0}) = 0 THEN []::VARCHAR[] WHEN len({0}) < 5 THEN [array_to_string({0}, ' ')] ELSE list_distinct(list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i:i + 4], ' '))) END"
+_SHARE = "CASE WHEN len({0}) = 0 THEN 1.0::DOUBLE WHEN len({1}) < 5 THEN contains(' ' || array_to_string(words, ' ') || ' ', ' ' || {0}[1] || ' ')::INT::DOUBLE ELSE len(list_intersect({0}, grams))::DOUBLE / len({0}) END"
+ORACLE["op1_decontamination"] = f"""
+WITH i0 AS (SELECT row_number() OVER () AS iid, item_id, text, {_ITEM_WORDS.format("coalesce(text, '')")} AS w, regexp_extract(text, '(?s)^(.*)[?]', 1) AS head, regexp_extract(text, '(?s)^.*[?](.*)$', 1) AS tail FROM benchmark),
+i1 AS (SELECT *, len(w) AS n, greatest(16, pow(2, ceil(log2(len(w))))::BIGINT) AS l, {_ITEM_WORDS.format("head")} AS hw, {_ITEM_WORDS.format("tail")} AS tw FROM i0 WHERE len(w) > 0),
+i2 AS (SELECT iid, item_id, w, n, l, CASE WHEN len(hw) > 0 AND len(tw) > 0 THEN hw ELSE w[1:(n + 1) // 2] END AS q, CASE WHEN len(hw) > 0 AND len(tw) > 0 THEN tw ELSE w[(n + 1) // 2 + 1:] END AS a FROM i1),
+i3 AS (SELECT *, {_GRAMS.format("w")} AS sw, {_GRAMS.format("q")} AS sq, {_GRAMS.format("a")} AS sa FROM i2),
+tf AS (SELECT iid, term, n, count(*) AS tf FROM (SELECT iid, n, unnest(w) AS term FROM i2) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS items, avg(n) AS average FROM i2),
+wt AS (SELECT iid, term, x / sum(x) OVER (PARTITION BY iid) AS x FROM (SELECT iid, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average)) AS x FROM tf JOIN df USING (term), st)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+p AS (SELECT rid, l, p, words[p * l + 1:p * l + 2 * l] AS words FROM (SELECT rid, words, l, unnest(range(0, (len(words) - 1) // l + 1)) AS p FROM d, (SELECT DISTINCT l FROM i2) WHERE len(words) > 0)),
+t AS (SELECT DISTINCT rid, l, p, unnest(words) AS term FROM p),
+s AS (SELECT rid, l, p, iid, round(sum(x), 9) AS score FROM t JOIN wt USING (term) JOIN i2 USING (iid, l) GROUP BY rid, l, p, iid HAVING sum(x) >= {decontamination.THRESHOLD}),
+g AS (SELECT s.*, p.words, {_GRAMS.format("p.words")} AS grams, i3.item_id, sw, sq, sa, w, q, a FROM s JOIN p USING (rid, l, p) JOIN i3 USING (iid)),
+v AS (SELECT rid, item_id, iid, score, l * p AS start_word, {_SHARE.format("sw", "w")} AS overlap, {_SHARE.format("sq", "q")} AS question_overlap, {_SHARE.format("sa", "a")} AS answer_overlap FROM g)
+SELECT doc_id, item_id, round(score, 6) AS score, start_word::BIGINT AS start_word, round(overlap, 6) AS overlap, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap
+FROM (SELECT *, row_number() OVER (PARTITION BY rid, iid ORDER BY score DESC, start_word) AS first FROM v WHERE overlap >= {decontamination.CONTAINMENT} AND question_overlap >= {decontamination.PART} AND answer_overlap >= {decontamination.PART}) JOIN d USING (rid) WHERE first = 1"""

@@ -6,8 +6,9 @@ import time
 
 import duckdb
 import pytest
+import zstandard
 
-from folioflux.llm import licenses, secrets
+from folioflux.llm import language, licenses, secrets
 from folioflux.llm.queries import ORACLE, QUERIES
 from test_corpus_operators import by_windows
 
@@ -86,3 +87,36 @@ def test_many_secrets_in_a_long_text(spark):
     assert len(secrets.scan(frame).first()["strong"]) == 12_000
     assert secrets.redacted(frame).first()["text"] == " ".join(["[SECRET]"] * 12_000)
     assert time.monotonic() - begun < 40
+
+
+def test_decontamination_against_sql(spark, docs, tmp_path):
+    texts = [r["text"] for r in docs.collect() if r["text"] and 20 < len(r["text"].split()) < 90]
+    items = [(i, " ".join(t.split()[2 : 9 + i])) for i, t in enumerate(texts[:20])] + [(30, "w1 w2? w3"), (31, None), (32, " ".join(texts[3].split()[:9]) + "? " + " ".join(texts[3].split()[9:20])), (32, "One two")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(400, "a b " * 900 + texts[0]), (401, "x w1 w2 w3 y")], "doc_id long, text string"))
+    got = same_as_sql(spark, tmp_path, "op1_decontamination", {"documents": rows, "benchmark": spark.createDataFrame(items, "item_id long, text string")})
+    assert got.count() > 20 and got.where("doc_id = 400").count() >= 1
+
+
+def test_language_against_plain_compression(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 1500")
+    model = language.fit(docs)
+    size = min(map(len, model.values()))
+    if any(len(v) < language.NEAR * max(map(len, model.values())) for v in model.values()):
+        model = {k: v[:size] for k, v in model.items()}
+    common = min(map(len, model.values()))
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    for r in docs.limit(120).collect():
+        data, sizes = r["text"].lower().encode(), {}
+        for k, v in model.items():
+            held = zstandard.ZstdCompressionDict(v[:common], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=held, write_content_size=False, write_checksum=False)
+            sizes[k] = sum(len(c.compress(data[i : i + language.SEGMENT])) for i in range(0, len(data), language.SEGMENT))
+        order = sorted(sizes, key=lambda k: (sizes[k], k))
+        if sizes[order[0]] >= language.RESOLVED * 1.2:
+            assert got[r["doc_id"]]["lang_pred"] == order[0] or sizes[order[1]] - sizes[order[0]] <= 0.02 * sizes[order[0]]
+
+
+def test_language_pieces_cover_whole_texts(spark):
+    text = "a" * 3000 + "b" * 3000 + "c" * 3000
+    model = language.fit(spark.createDataFrame([(1, text, "xx"), (2, "short", "yy")], "doc_id long, text string, lang string"))
+    assert model["yy"] == b"short" and set(model["xx"]) >= set(b"abc") and len(model["xx"]) == language.PIECES * (language.PIECE + 1) - 1
