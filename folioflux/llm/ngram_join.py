@@ -51,7 +51,8 @@ BLOCK = 1 << 22
 FILTER = 1 << 22
 
 
-_BAND = np.uint64(0x9FB21C651E98DF25)
+#: What tells the tiles of a shingle in different bands apart.
+_BANDS = mixed(np.arange(1, 34, dtype=np.uint64))
 
 
 def linked_sizes(overlap, a, b):
@@ -146,7 +147,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 take = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
                 order = np.lexsort((h, small[_slots(h)]))[:take] if take < n else slice(None)
                 for b in bands(n):
-                    key.append(mixed(h[order] + np.uint64(b) * _BAND))
+                    key.append(mixed(h[order] + _BANDS[b]))
                     size.append(np.full(take, n, np.int64))
                     owner.append(np.full(take, fp, np.int64))
                     held += take
@@ -281,8 +282,8 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(rows, "sets")[0].dropDuplicates(["fp"])
 
 
-def forest(tiles: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) that join the classes of each tile (key, n, fp, bits) wherever sizes and bitmaps allow a link, as a spanning forest.
+def forest(tiles: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) that join the classes of each tile (key, n, fp), with bits from nodes (fp, bits), wherever sizes and bitmaps allow a link, as a spanning forest.
 
     Tiles beyond ``tile`` classes are split into blocks, every two of which meet. A block pair
     streams in order of size, and only classes within the size band of the one at hand are held.
@@ -311,8 +312,10 @@ def forest(tiles: DataFrame, tile: int = TILE) -> DataFrame:
                 groups = [*others, [*merged, (n, fp, here, width)]]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    sizes = tiles.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    rows = paired(tiles.join(sizes, "key"))
+    large = tiles.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks")).where("blocks > 1")
+    large, _ = written(large, "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    rows = paired(tiles.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))).join(nodes.select("fp", "bits"), "fp")
     keys = ["key", "i", "j"]
     return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").select(*keys, "n", "fp", "bits").mapInArrow(join, "a long, b long").distinct()
 
@@ -382,9 +385,9 @@ def classes(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
     met, _ = written(shared(rows.join(hot, "key", "left_anti")).unionByName(rows.join(hot, "key", "left_semi").distinct().select(F.lit(False).alias("pair"), "key", "n", "fp")), "tiles")
     dropped(docs.sparkSession, rows_path, hot_path)
-    tiles = met.where("not pair").select("key", "fp", "n").join(nodes.select("fp", "bits"), "fp")
+    tiles = met.where("not pair").select("key", "fp", "n")
     pairs = met.where("pair").select(F.col("key").alias("a"), F.col("fp").alias("b")).distinct()
-    clusters, _ = written(components(possible(pairs, nodes).union(forest(tiles))).withColumnsRenamed({"node": "fp", "component": "cluster"}), "clusters")
+    clusters, _ = written(components(possible(pairs, nodes).union(forest(tiles, nodes))).withColumnsRenamed({"node": "fp", "component": "cluster"}), "clusters")
     exact = sets(docs, clusters.join(nodes, "fp").select(F.col("rep").alias("doc_id"), "fp"))
     whole = components(linked(clusters.join(exact, "fp"))).withColumnRenamed("node", "fp")
     by_class = nodes.join(whole, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
