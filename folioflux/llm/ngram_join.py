@@ -42,7 +42,7 @@ SEEN = 1 << 20
 #: Classes of a tile whose pairs are listed at once.
 SMALL = 8
 #: Classes of a block of a large tile, and the size from which on a tile is split before its rows meet.
-TILE = 1024
+TILE = 512
 #: Keys of large tiles that are broadcast at most; more are joined by shuffles.
 BROADCAST_KEYS = 500_000
 #: Hashes of a block of a cluster.
