@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.llm.common import written
+
 WEIGHTS = (5, 2, 1)
 #: Passes over a source at most.
 MOST = 3
@@ -30,6 +32,8 @@ SLOPE = 0.5
 BUCKET = 2000
 #: Buckets of a source at most, and how many are summed at once.
 BUCKETS, RUN = 1 << 24, 1 << 12
+#: Sources that are broadcast at most; more are joined by shuffles.
+BROADCAST_SOURCES = 50_000
 
 
 def words(text: str = "text") -> Column:
@@ -83,28 +87,28 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slope: flo
 def _planned(rows: DataFrame, weights: tuple, most: int, slope: float, carried: tuple = (), ties: tuple = ()) -> DataFrame:
     """plan() of rows (doc_id, source, size); columns ``carried`` stay on their rows, and columns ``ties`` order rows of one doc_id and size."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("h", h)
+    # A key without nulls, so that windows and joins share one partitioning and what rows carry is shuffled once.
+    rows = rows.withColumn("h", h).withColumn("k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     n = F.col("n_buckets")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sums = rows.groupBy("k", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sums = sums.withColumn("n_buckets", F.least(F.lit(BUCKETS), F.ceil(F.col("n") / BUCKET))).drop("n")
-    goal = targets(sums.select("source", "source_size"), weights, most)
-    goal = goal.join(sums.select(F.col("source").alias("s2"), "n_buckets"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    goal = goal.withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
+    goal = targets(sums.select("source", "source_size"), weights, most).withColumn("k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
+    goal = goal.join(sums.select("k", "n_buckets"), "k").withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
+    goal, _ = written(goal, "sources")
+    few = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * n / F.lit(4294967296.0)).cast("long")
-    keyed = rows.join(goal.select(F.col("source").alias("s2"), "n_buckets"), F.col("source").eqNullSafe(F.col("s2"))).withColumn("b", bucket).drop("s2", "n_buckets")
-    parts = keyed.groupBy("source", "b").agg(F.sum("size").alias("part"))
+    keyed = rows.join(few.select("k", "n_buckets"), "k").withColumn("b", bucket).drop("n_buckets")
+    parts = keyed.groupBy("k", "b").agg(F.sum("size").alias("part"))
     # Buckets are summed in runs of RUN, and the runs of a source among themselves: no window holds more than RUN or BUCKETS / RUN rows.
     parts = parts.withColumn("run", F.floor(F.col("b") / RUN))
     before = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    runs = parts.groupBy("source", "run").agg(F.sum("part").alias("part")).withColumn("ahead", F.coalesce(F.sum("part").over(before("run", "source")), F.lit(0)))
-    runs = runs.select(F.col("source").alias("s2"), F.col("run").alias("r2"), "ahead")
-    parts = parts.withColumn("base", F.coalesce(F.sum("part").over(before("b", "source", "run")), F.lit(0)))
-    parts = parts.join(runs, F.col("source").eqNullSafe(F.col("s2")) & (F.col("run") == F.col("r2"))).withColumn("base", F.col("base") + F.col("ahead")).drop("s2", "r2", "run", "ahead")
-    parts = parts.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    parts = parts.select(F.col("source").alias("s3"), F.col("b").alias("b3"), "base", "source_size", "target", "goal", "rank")
-    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    found = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    found = found.join(parts, F.col("source").eqNullSafe(F.col("s3")) & (F.col("b") == F.col("b3"))).drop("s3", "b3")
+    runs = parts.groupBy("k", "run").agg(F.sum("part").alias("part")).withColumn("ahead", F.coalesce(F.sum("part").over(before("run", "k")), F.lit(0))).select("k", "run", "ahead")
+    parts = parts.withColumn("base", F.coalesce(F.sum("part").over(before("b", "k", "run")), F.lit(0)))
+    parts = parts.join(runs, ["k", "run"]).withColumn("base", F.col("base") + F.col("ahead"))
+    parts = parts.join(few.drop("n_buckets"), "k").select("k", "b", "base", "source_size", "target", "goal", "rank")
+    parts, _ = written(parts, "buckets")
+    inside = Window.partitionBy("k", "b").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    found = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts.hint("shuffle_merge"), ["k", "b"])
     found = found.withColumn("at", F.col("base") + F.col("inner"))
     a = F.when(F.col("rank") % 2 == 1, F.lit(float(slope))).otherwise(F.lit(-float(slope)))
 
