@@ -75,10 +75,10 @@ def fit(labelled: DataFrame, samples: int = SAMPLES, dictionary: int = DICTIONAR
     rank = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     rows = (
         labelled.where("lang is not null and text is not null")
-        .select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), pieces().alias("text"), "lang")
+        .select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), "text", "lang")
         .withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= samples)
-        .select("lang", "r", "text")
+        .select("lang", "r", pieces().alias("text"))
         .collect()
     )
     found: dict[str, list[bytes]] = {}
