@@ -37,8 +37,14 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores dealt out to all of them: it is small, and one row group is read by one task. Larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.fixed_chunks(documents(spark, d))
+    return chunking.fixed_chunks(spread(documents(spark, d).select("doc_id", "text")))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
