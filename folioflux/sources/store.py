@@ -13,8 +13,11 @@ import uuid
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioflux.errors import ConfigError, EmbeddingError, ModelMismatch, StoreError
 from folioflux.functions import text as T
@@ -23,6 +26,9 @@ from folioflux.operators.retrieval import dense, postings
 
 DUPLICATE = 0.97
 MAX_DELETE = 0.5
+#: Numbers (rows times dimensions) of a block of a group in near_duplicates(), and of a tile of scores.
+BLOCK_NUMBERS, TILE_NUMBERS = 2_000_000, 4_000_000
+MAX_TASKS = 10_000
 GROUP_KEY, DUPLICATE_KEY = "doc.dedup_group", "doc.duplicate_of"
 
 SCHEMAS = {
@@ -102,18 +108,135 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, model: str, embed: Callab
     return keyed.join(known, "text_hash").select("id", "vector"), fresh
 
 
+def _ranks(values: list) -> np.ndarray:
+    """Dense ranks of ids in Spark's order, nulls first (0)."""
+    key = lambda v: (0,) if v is None else (1, *map(key, v.values())) if isinstance(v, dict) else (1, v)
+    keys = [key(v) for v in values]
+    place = {k: i for i, k in enumerate(sorted({(0,), *keys}))}
+    return np.array([place[k] for k in keys], np.int64)
+
+
+def _first_copies(vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the rows, in order, whose id is smaller than those of all their copies before them: no other copy can win."""
+    _, of = np.unique(vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    if len(starts) == len(of):
+        return np.arange(len(of))
+    kept = [order[starts]]
+    for i, j in zip(starts, np.append(starts[1:], len(of)), strict=True):
+        if j - i > 1:
+            own = ids[order[i:j]]
+            kept.append(order[i + 1 : j][own[1:] < np.minimum.accumulate(own)[:-1]])
+    return np.sort(np.concatenate(kept))
+
+
+def _winners(left: np.ndarray, left_docs: np.ndarray, right: np.ndarray, right_docs: np.ndarray, right_ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of left the best row of right of a smaller document: (left's places, right's places, scores).
+
+    A product of matrices rules out what cannot win; what is left is summed component by
+    component, as T.dot() does, so equal vectors have equal scores. A score that is no
+    number counts as the largest number, and wins last.
+    """
+    order = np.lexsort((right_ids, right_docs))
+    if right.shape[1]:
+        order = order[_first_copies(np.ascontiguousarray(right[order]), right_ids[order])]
+    right, docs, ids = right[order].astype(np.float64), right_docs[order], right_ids[order]
+    turn = np.argsort(left_docs, kind="stable")
+    before = np.searchsorted(docs, left_docs[turn])
+    turn, before = turn[before > 0], before[before > 0]
+    with np.errstate(all="ignore"):
+        slack = 4 * (right.shape[1] + 1) * np.finfo(float).eps
+        norms = (right * right).sum(axis=1)
+        reach = np.sqrt(norms[np.isfinite(norms)].max(initial=0.0))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, TILE_NUMBERS // max(1, len(right)))
+        for at in range(0, len(turn), step):
+            rows, until = turn[at : at + step], before[at : at + step]
+            own = left[rows].astype(np.float64)
+            scores = own @ right[: until[-1]].T
+            ragged = np.arange(until[0], until[-1])
+            scores[:, until[0] :][ragged[None, :] >= until[:, None]] = -np.inf
+            error = slack * np.sqrt((own * own).sum(axis=1)) * reach
+            top = scores.max(axis=1)
+            least = np.where(np.isfinite(top), np.maximum(top, threshold), threshold) - np.where(np.isfinite(error), error, 0.0)
+            if np.isfinite(top).all():
+                some = np.flatnonzero(top >= least)
+                r, c = np.nonzero(scores[some] >= least[some, None])
+                r = some[r]
+            else:  # every pair of such rows is summed
+                r, c = np.nonzero((scores >= least[:, None]) | ~np.isfinite(scores) | ~np.isfinite(top)[:, None])
+                inside = c < until[r]
+                r, c = r[inside], c[inside]
+            exact = np.zeros(len(r))
+            for k in range(own.shape[1]):
+                exact += own[r, k] * right[c, k]
+            good = (exact >= threshold) | np.isnan(exact)
+            r, c, exact = r[good], c[good], exact[good]
+            best = np.lexsort((ids[c], -exact, r))
+            best = best[np.flatnonzero(np.diff(r[best], prepend=-1))]
+            out.append((rows[r[best]], order[c[best]], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = DUPLICATE, asked: Column | None = None) -> DataFrame:
     """(chunk_id, winner_id, score): for each of vectors (chunk_id, doc_id, grp, vector) the most similar chunk of an earlier document of its group.
 
-    Rows compare only within their group, which the data opts into as a blocking key; a winner's
-    doc_id is smaller, ties go to the smaller chunk_id. Groups are joined by key, never gathered;
-    with ``asked`` only rows that it is true of look for a winner.
+    Rows compare only within their group, which the data opts into as a blocking key, and with
+    vectors of their dimension; a winner's doc_id is smaller, ties go to the smaller chunk_id.
+    Vectors that are null or hold a null have no winner and are none. With ``asked`` only rows
+    that it is true of look for a winner. Exact: a group of more than BLOCK_NUMBERS numbers is
+    dealt out to blocks and each pair of blocks is a task's product of matrices; small groups share tasks.
     """
-    a = vectors if asked is None else vectors.where(asked)
-    a = a.select("chunk_id", "doc_id", "grp", "vector")
-    b = vectors.select(F.col("chunk_id").alias("winner_id"), F.col("doc_id").alias("w_doc"), F.col("grp").alias("w_grp"), F.col("vector").alias("w_vec"))
-    pairs = a.join(b, (F.col("grp") == F.col("w_grp")) & (F.col("w_doc") < F.col("doc_id")))
-    pairs = pairs.select("chunk_id", "winner_id", T.dot(F.col("vector"), F.col("w_vec")).alias("score")).where(F.col("score") >= threshold)
+    rows = vectors.where("doc_id is not null and grp is not null and vector is not null and not exists(vector, x -> x is null)")
+    rows = rows.select("chunk_id", "doc_id", "grp", "vector", F.size("vector").alias("dim"), F.coalesce(F.lit(True) if asked is None else asked, F.lit(False)).alias("asked"))
+    sizes = rows.groupBy("grp", "dim").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"))
+    blocks = F.ceil(F.col("n") * F.greatest("dim", F.lit(1)) / F.lit(BLOCK_NUMBERS)).cast("int")
+    sizes = sizes.where("asked > 0 and n > 1").select("grp", "dim", "n", blocks.alias("blocks"))
+    large = sizes.where("blocks > 1")  # a row for each BLOCK_NUMBERS of the table at most
+    totals = sizes.agg(F.sum(F.col("n") * F.greatest("dim", F.lit(1))).alias("numbers"), F.coalesce(F.sum(F.when(F.col("blocks") > 1, F.col("blocks") * (F.col("blocks") + 1) / 2)), F.lit(0)).alias("cells")).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tasks = max(4 * cores, 2 * ((totals["numbers"] or 0) // BLOCK_NUMBERS))
+    if totals["cells"]:
+        large = large.select(F.col("grp").alias("l_grp"), F.col("dim").alias("l_dim"), "blocks")
+        rows = rows.join(F.broadcast(large), (F.col("grp") == F.col("l_grp")) & (F.col("dim") == F.col("l_dim")), "left").drop("l_grp", "l_dim")
+    else:
+        rows = rows.withColumn("blocks", F.lit(None).cast("int"))
+    rows = rows.withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("chunk_id", "doc_id"), F.col("blocks"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+    rows = rows.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    share = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("grp", "dim"), F.lit(tasks))).otherwise(F.xxhash64("grp", "dim", "x", "y"))
+    rows = rows.select(share.alias("share"), F.struct("grp", "dim", "x", "y").alias("cell"), "block", "asked", "chunk_id", "doc_id", "vector")
+    rows = rows.repartition(int(min(MAX_TASKS, tasks + totals["cells"])), "share")
+    kind = vectors.schema["chunk_id"].dataType
+    schema, id_type = f"chunk_id {kind.simpleString()}, winner_id {kind.simpleString()}, score double", to_arrow_type(kind)
+
+    def compare(share: pa.Table) -> pa.Table:
+        members: dict = {}
+        for place, cell in enumerate(share.column("cell").to_pylist()):
+            members.setdefault(repr(cell), []).append(place)
+        block, asked = (share.column(c).to_numpy() for c in ("block", "asked"))
+        ids, docs = (_ranks(share.column(c).to_pylist()) for c in ("chunk_id", "doc_id"))
+        vector = share.column("vector").combine_chunks()
+        offsets = vector.offsets.to_numpy()
+        flat = vector.values.to_numpy(zero_copy_only=False)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for own in members.values():
+            if len(own) == 1:
+                continue
+            own = np.array(own)
+            dim = offsets[own[0] + 1] - offsets[own[0]]
+            matrix = flat[offsets[own][:, None] + np.arange(dim)]
+            sides = [block[own] == b for b in np.unique(block[own])]
+            for i, left in enumerate(sides):
+                a, b = own[left & asked[own]], own[sides[-1 - i]]
+                row, winner, score = _winners(matrix[left & asked[own]], docs[a], matrix[sides[-1 - i]], docs[b], ids[b], threshold)
+                found.append((a[row], b[winner], score))
+        row, winner, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        chunk = share.column("chunk_id")
+        return pa.table({"chunk_id": chunk.take(pa.array(row)).cast(id_type), "winner_id": chunk.take(pa.array(winner)).cast(id_type), "score": pa.array(score)})
+
+    pairs = rows.groupBy("share").applyInArrow(compare, schema)
     best = F.min(F.struct((-F.col("score")).alias("s"), "winner_id"))
     return pairs.groupBy("chunk_id").agg(best.alias("x")).select("chunk_id", "x.winner_id", (-F.col("x.s")).alias("score"))
 

@@ -272,6 +272,37 @@ def test_diff_and_duplicates(spark):
     assert {r["chunk_id"]: r["winner_id"] for r in near_duplicates(v).collect()} == {"b": "a", "c": "a"}
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """As all pairs, one by one: groups in blocks, copies, ties, other dimensions, nulls, and numbers that are none."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(260):
+        v = [rng.choice([-0.5, 0.1, 0.3, 0.7]) for _ in range(3 if i % 17 else 4)]
+        v = None if i % 71 == 3 else [None, *v[1:]] if i % 71 == 4 else [float("nan"), *v[1:]] if i % 71 == 5 else v
+        rows.append((f"c{rng.randint(0, 10**6)}", rng.choice([None, *range(60)]), rng.choice(["g"] * 8 + ["h", "i", None]), v, i % 3 > 0))
+    frame = spark.createDataFrame(rows, "chunk_id string, doc_id int, grp string, vector array<double>, asked boolean")
+
+    def pairs(asked):
+        best = {}
+        for c, d, g, v, a in rows:
+            for w, e, h, u, _ in rows:
+                if None in (d, e, g, v, u) or g != h or not e < d or len(u) != len(v) or None in u + v or (asked and not a):
+                    continue
+                s = 0.0
+                for x, y in zip(u, v, strict=True):
+                    s += x * y
+                if s >= 0.6 or math.isnan(s):
+                    best[c] = min(best.get(c, (2, 0.0, "")), (1, 0.0, w) if math.isnan(s) else (0, -s, w))
+        return {c: (w, None if k else -s) for c, (k, s, w) in best.items()}
+
+    for block in (1_000_000, 100):
+        monkeypatch.setattr("folioflux.sources.store.BLOCK_NUMBERS", block)
+        for asked in (None, F.col("asked")):
+            got = {r["chunk_id"]: (r["winner_id"], None if math.isnan(r["score"]) else r["score"]) for r in near_duplicates(frame, 0.6, asked).collect()}
+            assert got == pairs(asked is not None) and len(got) > 50
+    assert "Join" not in near_duplicates(frame.where("grp = 'h'"), 0.6)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_loaders(spark, tmp_path):
     root = tmp_path / "corpus"
     (root / "sub" / "skipme").mkdir(parents=True)
